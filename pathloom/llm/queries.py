@@ -54,6 +54,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = None
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.simhash_dedup import simhash_components
+
+    found = simhash_components(table(spark, sf_dir, "documents"), 4, 4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.token_counts import token_counts
 
@@ -69,6 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op6_sharding": op6_sharding,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
