@@ -45,6 +45,18 @@ select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.sharding import shard_documents
 
@@ -75,6 +87,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_counts": op9_token_counts,
