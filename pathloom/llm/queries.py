@@ -45,6 +45,12 @@ select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as
 """
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.secrets import secret_digest
+
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.toxicity import score_toxicity
 
@@ -66,6 +72,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = None
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.simhash_dedup import simhash_components
 
@@ -87,9 +99,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op2_secrets": op2_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
+    "op7_decontaminate": op7_decontaminate,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
