@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Workers need not have this repository on their path: the functions travel with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -77,10 +79,11 @@ def text_of(df: DataFrame, column: str = "text"):
 def map_rows(df: DataFrame, keep: list[str], column: str, fn: Callable[[Iterator[list]], Iterator[dict]], schema: str) -> DataFrame:
     """Runs ``fn`` over lists of at most 512 values of ``column``; what it gives for each list (a dict of columns, one
     value a row) is put beside the columns ``keep``. Only these columns reach Python; texts are not returned."""
-    fields = df.select(*keep).schema.simpleString()[7:-1]
     head = df.select(*keep).schema
     source = df.select(*keep, text_of(df, column).alias("_text"))
     n = len(keep)
+    added = StructType.fromDDL(schema)
+    types = list(to_arrow_schema(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[pa.RecordBatch]:
@@ -97,9 +100,6 @@ def map_rows(df: DataFrame, keep: list[str], column: str, fn: Callable[[Iterator
 
         for out in fn(texts()):
             part = waiting.pop(0)
-            yield pa.RecordBatch.from_arrays([*part.columns[:n], *(v if isinstance(v, pa.Array) else pa.array(v) for v in out.values())], names=[*part.schema.names[:n], *out])
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(out[f.name], f.type) for f in types)], names=[*part.schema.names[:n], *(f.name for f in types)])
 
-    del fields
-    from pyspark.sql.types import StructType
-
-    return source.mapInArrow(run, StructType([*head.fields, *StructType.fromDDL(schema).fields]))
+    return source.mapInArrow(run, StructType([*head.fields, *added.fields]))

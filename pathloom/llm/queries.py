@@ -51,6 +51,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.licenses import find_licenses
+
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.toxicity import score_toxicity
 
@@ -100,6 +106,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_secrets": op2_secrets,
+    "op3_licenses": op3_licenses,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
