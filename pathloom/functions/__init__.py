@@ -1 +1 @@
-
+"""Expressions: types, operators and functions as Spark columns."""

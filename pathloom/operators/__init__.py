@@ -1 +1 @@
-
+"""Statements' operators: pattern matching, paths, selection, modification."""

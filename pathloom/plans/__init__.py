@@ -1 +1 @@
-
+"""Plan-building helpers."""
