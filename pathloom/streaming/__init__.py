@@ -1 +1 @@
-
+"""Graphs over streams would live here. The query language has no statement over streams, so there is none yet."""
