@@ -98,6 +98,61 @@ def test_keep_one(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept.collect()) == sorted([(False, 2, long), (False, 7, rows[3][1]), (False, 9, None), (True, None, long)])
 
 
+def brute_kept(rows, matches, radius):
+    """Ids that stay: the least of each group of linked rows."""
+    prints = [S.wide_fingerprint(t or "", 5, 4) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            d = prints[i] ^ prints[j]
+            if not d.any() or (d.view(np.uint8) == 0).sum() >= matches and np.bitwise_count(d).sum() <= radius:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("size", [16_384, 6])
+def test_near_copies_go(spark, monkeypatch, size):
+    monkeypatch.setattr(S, "SLICE", size)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for g in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        for c in range(8 if g == 3 else rng.randint(1, 3)):
+            copy = list(base)
+            for _ in range(c * len(base) // 150):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((rng.randrange(10**6), " ".join(copy)))
+    rows += [(10**6 + 1, ""), (10**6 + 2, None), (10**6 + 3, "three short words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in S.keep_one(df).collect())
+    assert got == brute_kept(rows, S.KEEP_MATCHES, S.KEEP_RADIUS)
+    assert len(got) <= 12 + 2 + 2
+
+
+def test_positions_leave_no_gap():
+    rng = random.Random(2)
+    for matches, chosen in ((6, 2), (8, 2), (7, 3)):
+        sets = [set(s) for s in S._positions(32, matches, chosen)]
+        for _ in range(500):
+            shared = set(rng.sample(range(32), matches))
+            assert any(s <= shared for s in sets)
+
+
+def test_first_bits_are_the_fingerprint():
+    t = " ".join(f"w{i}" for i in range(50))
+    assert int(S.wide_fingerprint(t, 4, 4)[0]) == S.fingerprint(t, 4)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.simhash_components(df).collect() == [] and S.keep_one(df).collect() == []
