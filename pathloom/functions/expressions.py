@@ -138,7 +138,7 @@ def number_as(v: Value, t: str) -> Column:
         return v.col
     if t == "float":
         return v.col.cast("double")
-    return v.col.cast(T.DecimalType(38, 12 if v.type == "float" else 0))
+    return v.col.cast(T.DecimalType(38, 12) if v.type == "float" else T.DecimalType(19, 0))
 
 
 def _time_micros(v: Value) -> Column:
@@ -258,12 +258,13 @@ def cast(v: Value, to: str) -> Value:
     if to == "STRING":
         return Value(text_value(v), "string")
     if to == "DECIMAL":
-        return Value(v.col.cast("decimal(38,12)" if v.type != "int" else "decimal(38,0)"), "decimal")
+        return Value(v.col.cast("decimal(38,12)"), "decimal")
     if to == "TIME":
         if v.type == "timetz":
             return Value(v.col["time"], "time")
         if v.type in ("timestamp", "timestamptz"):
-            return Value(v.col.cast("timestamp_ntz").cast("time(6)"), "time")
+            c = v.col.cast("timestamp_ntz")
+            return Value(F.make_time(F.hour(c), F.minute(c), F.extract(F.lit("SECOND"), c).cast("decimal(16,6)")), "time")
         return Value(v.col.cast("time(6)"), "time")
     if to == "TIME WITH TIME ZONE":
         if v.type == "timetz":
@@ -434,7 +435,7 @@ def call(n: A.Call, scope: Scope) -> Value:
         case "ID":
             return Value(scope.identity(var(n.args[0])), "int")
         case "LABEL":
-            return Value(F.element_at(scope.labels(var(n.args[0])), 1), "string")
+            return Value(F.get(scope.labels(var(n.args[0])), 0), "string")
         case "LABELS":
             return Value(scope.labels(var(n.args[0])), "array")
         case "HAS_LABEL":

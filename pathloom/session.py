@@ -151,11 +151,13 @@ class Session:
                 if n.matches and into is not None and self.current is None:
                     selector.graph_of = lambda name: self.graph(name or into)
                 Modifier(selector, self.warehouse).insert(n, g)
+                self._check_indexes(g)
                 self._publish(g)
             case A.Update() | A.Delete():
                 g = self._changing(next((m.graph for m in n.matches if m.graph), None), "no graph selected")
                 modifier = Modifier(selector, self.warehouse)
                 (modifier.update if isinstance(n, A.Update) else modifier.delete)(n, g)
+                self._check_indexes(g)
                 self._publish(g)
             case A.Transaction(action):
                 self._transaction(action)
@@ -218,20 +220,26 @@ class Session:
             there[n.name.lower()] = n.name
         else:
             if n.unique:
-                self._check_unique(g, n)
+                self._check_unique(g, n.name, n.props)
             there[n.name.lower()] = {"name": n.name, "properties": n.props, "unique": n.unique}
         self._publish(g)
 
-    def _check_unique(self, g: StoredGraph, n: A.Create) -> None:
+    def _check_indexes(self, g: StoredGraph) -> None:
+        """Refuses a change after which a unique index has a value twice."""
+        for index in g.data["indexes"].values():
+            if index["unique"]:
+                self._check_unique(g, index["name"], index["properties"])
+
+    def _check_unique(self, g: StoredGraph, name: str, props: list[str]) -> None:
         from pathloom.operators.frame import Bound, common_props, scan
 
         graph = g.graph(self.spark)
         for kind, tables in (("vertex", graph.vertices), ("edge", graph.edges)):
-            tables = [t for t in tables if all(p.lower() in t.props for p in n.props)]
+            tables = [t for t in tables if all(p.lower() in t.props for p in props)]
             if tables:
-                b = Bound("", kind, "u", graph, tables, common_props(tables, {p.lower() for p in n.props}))
-                keys = [f"u_p_{p.lower()}" for p in n.props]
+                b = Bound("", kind, "u", graph, tables, common_props(tables, {p.lower() for p in props}))
+                keys = [f"u_p_{p.lower()}" for p in props]
                 if scan(b).dropna(subset=keys).groupBy(*keys).count().where("count > 1").limit(1).count():
-                    raise CatalogError(f"index {n.name}: values are not unique")
+                    raise CatalogError(f"index {name}: values are not unique")
 
 
