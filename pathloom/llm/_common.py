@@ -66,6 +66,17 @@ def _clean() -> None:
             return
 
 
+class Shipped:
+    """A broadcast of an object whose class the workers need not be able to import. Its size is the caller's to bound."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self):
+        """The object, on a worker; to be kept for the task."""
+        return cloudpickle.loads(self.bytes.value)
+
+
 def memo(name: str) -> types.ModuleType:
     """A place of this Python process that outlives a task; what is kept there must be bounded by its user."""
     return sys.modules.setdefault(f"_pathloom_{name}", types.ModuleType(name))

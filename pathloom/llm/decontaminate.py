@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import durable, map_rows, text_of
+from pathloom.llm._common import Shipped, durable, map_rows
 
 #: Words of a shingle; bits that fingerprints of similar texts may differ in (at a similarity of 0.8, about 10 of the 64
 #: differ on average, with a deviation below 3); least similarity.
@@ -158,12 +158,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
     """
     out = None
     for part in _passes(benchmark, item_col, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(Index(part))
+        index = Shipped(docs.sparkSession, Index(part))
 
         def run(parts: Iterator[list], index=index) -> Iterator[dict]:
             known: dict[str, int] = {}
+            own = index.load()
             for texts in parts:
-                yield {"found": [[{"item_id": int(i), "similarity": s, "start_word": a, "n_words": b + WIDTH - 1} for i, (s, a, b) in sorted(index.value.matches(h).items())] if len(h := shingle_hashes(t, known)) else [] for t in texts]}
+                yield {"found": [[{"item_id": int(i), "similarity": s, "start_word": a, "n_words": b + WIDTH - 1} for i, (s, a, b) in sorted(own.matches(h).items())] if len(h := shingle_hashes(t, known)) else [] for t in texts]}
 
         found = map_rows(docs, list(keys), text_col, run, "found array<struct<item_id:long,similarity:double,start_word:int,n_words:int>>")
         found = found.where(F.size("found") > 0).select(*keys, F.inline("found"))
@@ -180,12 +181,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     kept = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = f"c{columns.index(text_col)}"
     for part in _passes(benchmark, item_col, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(Index(part))
+        index = Shipped(docs.sparkSession, Index(part))
 
         def run(parts: Iterator[list], index=index) -> Iterator[dict]:
             known: dict[str, int] = {}
+            own = index.load()
             for texts in parts:
-                yield {"clean": [not (len(h := shingle_hashes(t, known)) and index.value.matches(h)) for t in texts]}
+                yield {"clean": [not (len(h := shingle_hashes(t, known)) and own.matches(h)) for t in texts]}
 
         kept = map_rows(kept, kept.columns, at, run, "clean boolean").where("clean").drop("clean")
     return kept.toDF(*columns)

@@ -117,7 +117,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     ranked = (
         kept.withColumn("_length", F.col(length_col).cast("long"))
         .withColumn("_local", F.row_number().over(Window.partitionBy("_part", "_length").orderBy("_row")) - 1)
-        .join(before, ["_part", "_length"], "left")
+        .join(before.hint("merge"), ["_part", "_length"], "left")  # counts grow with the partitions: never broadcast
         .withColumn("_rank", F.col("_before") + F.col("_local"))
     )
     # the plan's runs of one length are consecutive, so its index of the run comes from a sorted list per length
