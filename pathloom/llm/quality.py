@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader (FTRL).
 
 Words (runs of letters, digits and underscores, lower-cased) and signs (runs of anything else but white space) are
-hashed, alone and in pairs, into 2^18 weights. A text is its sparse vector of counts, of length 1; its score is the
+hashed, alone and in pairs, into 2^18 weights; pairs of equal words share one weight besides. A text is its sparse vector of counts, of length 1; its score is the
 logistic function of one sparse dot product with the weights.
 """
 
@@ -19,6 +19,7 @@ from pathloom.llm._common import map_rows, text_of
 from pathloom.llm.labelled import one_label_each, remainder, sample
 
 BITS = 18
+AGAIN = 1
 #: Labelled rows that the classifier is fitted on, at most; passes over them; hashes of words kept by a task.
 SAMPLE, EPOCHS, KNOWN = 12_000, 2, 500_000
 #: FTRL: rate, its offset, L1 and L2 strength.
@@ -46,7 +47,9 @@ class Features:
         hashes.update((t, zlib.crc32(t.encode("utf-8", "surrogatepass"))) for t in new)
         one = np.fromiter(map(hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
         two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS)
-        ids, n = np.unique(np.concatenate([one & np.uint64((1 << BITS) - 1), two]).astype(np.int32), return_counts=True)
+        # a word that follows itself is also a pair of its own kind, whatever the word
+        again = np.full(int((one[1:] == one[:-1]).sum()), AGAIN, dtype=np.uint64)
+        ids, n = np.unique(np.concatenate([one & np.uint64((1 << BITS) - 1), two, again]).astype(np.int32), return_counts=True)
         x = n.astype(np.float64)
         return ids, x / np.sqrt((x * x).sum()) if len(x) else x
 
@@ -61,10 +64,10 @@ class Ftrl:
         z, n = self.z[ids], self.n[ids]
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def learn(self, ids: np.ndarray, x: np.ndarray, y: int, weight: float) -> None:
+    def learn(self, ids: np.ndarray, x: np.ndarray, y: int) -> None:
         ids, x = np.append(ids, len(self.z) - 1), np.append(x, 1.0)
         w = self.weights(ids)
-        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * weight * x
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
         s = (np.sqrt(self.n[ids] + g * g) - np.sqrt(self.n[ids])) / ALPHA
         self.z[ids] += g - s * w
         self.n[ids] += g * g
@@ -77,8 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from, most: int =
     """The weights, the intercept last; None without two classes to learn from.
 
     ``learn_from``: a condition on ``_id``. Fitted on at most ``most`` labelled rows, by one task that reads them in the
-    order of a hash of their ids, so the result doesn't depend on partitions. Classes count alike in the loss' sum up
-    to a factor of 4.
+    order of a hash of their ids, so the result doesn't depend on partitions.
     """
     ids = sample(one_label_each(labels, label).where(learn_from), most)
     # at most `most` rows of two numbers: small enough to broadcast
@@ -94,12 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from, most: int =
         positive = sum(y for *_, y in data)
         if not 0 < positive < len(data):
             return
-        rare = 1 if 2 * positive < len(data) else 0
-        weight = min(4.0, max(len(data) - positive, positive) / min(len(data) - positive, positive))
         model = Ftrl(1 << BITS)
         for _ in range(EPOCHS):
             for ids, x, y in data:
-                model.learn(ids, x.astype(np.float64), y, weight if y == rare else 1.0)
+                model.learn(ids, x.astype(np.float64), y)
         yield pa.RecordBatch.from_arrays([pa.array([model.all().astype("<f4").tobytes()], pa.binary())], names=["weights"])
 
     found = rows.mapInArrow(run, "weights binary").collect()
