@@ -20,9 +20,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole: the same as runs of any length, the short ones dropped
 KINDS = ("assign", "access", "hex", "guess")
-#: A name that announces a credential, and its value: quoted, or up to white space.
+#: A name that announces a credential, and its value: quoted (over lines, too), a PEM block, or up to white space, as also
+#: after a quote that nothing closes.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?)["']?\x20*(?::|=>|=)\x20*(?:bearer\x20+)?(?:"([^"\n]{1,4096})"|'([^'\n]{1,4096})'|([^\s"'<>,;(){}]{6,}))""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?)["']?\x20*(?::|=>|=)\x20*(?:bearer\x20+)?(?:"([^"]+)"|'([^']+)'|(-----BEGIN\x20[^\n-]+-----(?:[^-]|-(?!----))*-----END\x20[^\n-]+-----)|["']?([^\s"'<>,;(){}]{6,}))""",
     re.ASCII | re.IGNORECASE,
 )
 CALLS = re.compile("pass|pwd|secret|token|key|auth|bearer|credential", re.ASCII | re.IGNORECASE).search
@@ -108,7 +109,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guess_spans(text: str, least: float = LEAST) -> list[tuple[int, int, str]]:
-    """Values in credential contexts whose guess cost is at least ``least``."""
+    """Values of 6 or more characters in credential contexts whose guess cost is at least ``least``; nothing else decides."""
     if not (":" in text or "=" in text) or not CALLS(text):
         return []
     out = []
@@ -116,11 +117,10 @@ def guess_spans(text: str, least: float = LEAST) -> list[tuple[int, int, str]]:
         k = m.lastindex
         start, end = m.span(k)
         value = text[start:end]
-        if k == 3:
+        if k == 4:
             value = value.rstrip(".!?:")
             end = start + len(value)
-        kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9\\s]"))
-        if len(value) >= 6 and kinds >= 2 and value.count(" ") <= 8 and guess_cost(value) >= least:
+        if len(value) >= 6 and guess_cost(value) >= least:
             out.append((start, end, "guess"))
     return out
 
