@@ -13,7 +13,7 @@ from pathloom.llm.packing import pack_documents
 from pathloom.llm.quality import keep_good
 from pathloom.llm.queries import table, tokenizer
 from pathloom.llm.secrets import redact_secrets
-from pathloom.llm.simhash_dedup import keep_one
+from pathloom.llm.simhash_dedup import keep_one_verified
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return keep_one(docs)
+    """Of each group of near-duplicates (a 5-word-shingle similarity of 0.8 or more links) the smallest id's document stays."""
+    return keep_one_verified(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from pathloom.llm.components import components
 CHUNK, SIDE = 1 << 14, 1024
 #: Members of a list that one task may hold.
 SLICE = 16_384
+#: Members of a slice where every pair of a list is wanted, and pairs that are held at a time: both bound memory.
+SLICE_OF_PAIRS, HELD_PAIRS = 2048, 1 << 20
 #: Fingerprints with more than this part of all rows are joined by broadcast; there are less than HOT.
 HOT = 1000
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -44,27 +46,41 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def wide_fingerprint(text: str, width: int, longs: int) -> np.ndarray:
-    """SimHash of ``longs`` times 64 bits; the first 64 are fingerprint()'s."""
-    import xxhash
-
+def _shingles(text: str, width: int) -> list[str]:
+    """Shingles of ``width`` words, repeats included; a shorter text is one shingle, one without words has none."""
     words = text.translate(UPPER).replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ")
     if "" in words:
         words = [w for w in words if w]
-    if not words:
-        return np.zeros(longs, dtype=np.uint64)
     if len(words) <= width:
-        shingles = [" ".join(words)]
-    else:
-        shingles = list(map(" ".join, zip(*(words[i:] for i in range(width)))))
-    ones = np.zeros(64 * longs, dtype=np.int64)
+        return [" ".join(words)] if words else []
+    return list(map(" ".join, zip(*(words[i:] for i in range(width)))))
+
+
+def _hashes(shingles: list[str]) -> np.ndarray:
+    import xxhash
+
     digest = xxhash.xxh64_intdigest
-    for i in range(0, len(shingles), CHUNK):
-        h = np.array([digest(s.encode("utf-8", "surrogatepass"), 42) for s in shingles[i : i + CHUNK]], dtype="<u8")
+    return np.array([digest(s.encode("utf-8", "surrogatepass"), 42) for s in shingles], dtype="<u8")
+
+
+def _simhash(hashes: np.ndarray, longs: int) -> np.ndarray:
+    ones = np.zeros(64 * longs, dtype=np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        h = hashes[i : i + CHUNK]
         for k in range(longs):
             bits = np.unpackbits(np.ascontiguousarray(_mixed(h, k)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_fingerprint(text: str, width: int, longs: int) -> np.ndarray:
+    """SimHash of ``longs`` times 64 bits; the first 64 are fingerprint()'s."""
+    return _simhash(_hashes(_shingles(text, width)), longs)
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Hashes of the different shingles, sorted."""
+    return np.unique(_hashes(_shingles(text, width)))
 
 
 def fingerprints(docs: DataFrame, keys: list[str], width: int = 4, text_col: str = "text") -> DataFrame:
@@ -88,6 +104,31 @@ def wide_fingerprints(docs: DataFrame, keys: list[str], width: int, longs: int,
     return map_rows(docs, keys, text_col, run, ", ".join(f"fp{k} long" for k in range(longs)))
 
 
+def _set_prints(docs: DataFrame, keys: list[str], width: int, longs: int, text_col: str = "text") -> DataFrame:
+    """``keys``, n, d0, d1 (size and digest of the set of shingles) and fp0, fp1, ... (the set's SimHash) for each row."""
+
+    def run(parts: Iterator[list]) -> Iterator[dict]:
+        import xxhash
+
+        for texts in parts:
+            sets = [shingle_set(t, width) for t in texts]
+            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8") for s in sets])
+            prints = np.array([_simhash(s, longs) for s in sets], dtype=np.uint64).view(np.int64)
+            yield {"n": np.array([len(s) for s in sets]), "d0": digests[:, 0].copy(), "d1": digests[:, 1].copy(), **{f"fp{k}": prints[:, k].copy() for k in range(longs)}}
+
+    return map_rows(docs, keys, text_col, run, "n long, d0 long, d1 long, " + ", ".join(f"fp{k} long" for k in range(longs)))
+
+
+def _shingle_sets(docs: DataFrame, keys: list[str], width: int, text_col: str = "text") -> DataFrame:
+    """``keys`` and hashes (of the different shingles) for each row."""
+
+    def run(parts: Iterator[list]) -> Iterator[dict]:
+        for texts in parts:
+            yield {"hashes": [shingle_set(t, width).view(np.int64) for t in texts]}
+
+    return map_rows(docs, keys, text_col, run, "hashes array<long>")
+
+
 def _tally(a: np.ndarray, b: np.ndarray, matches: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs that share enough positional bytes and then differ in few enough bits. Rows are fingerprints."""
     differ = a[:, None] ^ b[None, :]
@@ -141,6 +182,51 @@ def _join_sides(ids: np.ndarray, left: np.ndarray, other_ids: np.ndarray | None,
     return members[np.array(found, dtype=np.int64).reshape(-1, 2)]
 
 
+def _first_met(a: np.ndarray, b: np.ndarray, numbers: np.ndarray | int, positions: np.ndarray) -> np.ndarray:
+    """Of pairs of fingerprints that meet in lists of the sets ``numbers`` of positions, those that meet in no earlier set."""
+    out = np.zeros(len(a), dtype=bool)
+    numbers = np.broadcast_to(numbers, len(a))
+    for k in range(0, len(a), CHUNK):
+        same = (a[k : k + CHUNK] ^ b[k : k + CHUNK]).view(np.uint8).reshape(-1, 8 * a.shape[1]) == 0
+        out[k : k + CHUNK] = same[:, positions].all(axis=2).argmax(axis=1) == numbers[k : k + CHUNK]
+    return out
+
+
+def _side_pairs(ids: np.ndarray, left: np.ndarray, other_ids: np.ndarray | None, right: np.ndarray | None, number: int, matches: int, radius: int, positions: np.ndarray) -> Iterator[np.ndarray]:
+    """Every near pair within ``left`` (right None) or between the two that meets first in the set ``number``."""
+    other, names = (left, ids) if right is None else (right, other_ids)
+    for i in range(0, len(left), SIDE):
+        for j in range(i if right is None else 0, len(other), SIDE):
+            x, y = _tally(left[i : i + SIDE], other[j : j + SIDE], matches, radius)
+            x, y = x + i, y + j
+            if right is None:
+                x, y = x[x < y], y[x < y]
+            new = _first_met(left[x], other[y], number, positions)
+            yield np.stack([ids[x[new]], names[y[new]]], axis=1)
+
+
+def _run_pairs(sets: np.ndarray, ids: np.ndarray, fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, matches: int, radius: int, positions: np.ndarray) -> Iterator[np.ndarray]:
+    """Every near pair within each run starts[i]:ends[i], in the first list only that holds both."""
+    sizes = ends - starts
+    for n in np.unique(sizes):
+        at = starts[sizes == n]
+        if n > 8:
+            for k in at:
+                yield from _side_pairs(ids[k : k + n], fps[k : k + n], None, None, int(sets[k]), matches, radius, positions)
+            continue
+        rows = at[:, None] + np.arange(n)
+        for i, j in combinations(range(int(n)), 2):
+            for k in range(0, len(rows), 1 << 16):
+                x, y = rows[k : k + (1 << 16), i], rows[k : k + (1 << 16), j]
+                differ = fps[x] ^ fps[y]
+                near = np.bitwise_count(differ).sum(axis=1) <= radius
+                x, y, differ = x[near], y[near], differ[near]
+                near = (differ.view(np.uint8).reshape(-1, 8 * fps.shape[1]) == 0).sum(axis=1) >= matches
+                x, y = x[near], y[near]
+                new = _first_met(fps[x], fps[y], sets[x], positions)
+                yield np.stack([ids[x[new]], ids[y[new]]], axis=1)
+
+
 def _links_of(found: list[np.ndarray], longs: int) -> pa.RecordBatch:
     pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
     pairs = np.unique(np.sort(pairs, axis=1), axis=0)
@@ -176,28 +262,32 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return _links(entries.select(F.col("set").cast("byte").alias("set"), "bytes", "node"), [], matches, radius)
 
 
-def wide_links(prints: DataFrame, matches: int, radius: int, chosen: int = 2) -> DataFrame:
+def wide_links(prints: DataFrame, matches: int, radius: int, chosen: int = 2, every: bool = False) -> DataFrame:
     """a, b (a < b): links that join just those nodes whose fingerprints share at least ``matches`` positional bytes and
-    are at most ``radius`` bits apart, over any number of steps. ``prints``: node and fp0, fp1, ..., without nulls."""
+    are at most ``radius`` bits apart, over any number of steps; with ``every``, all pairs of such nodes, each once.
+    ``prints``: node and fp0, fp1, ..., without nulls."""
     columns = prints.columns[1:]
     keys = []
-    for s in _positions(8 * len(columns), matches, chosen):
+    sets = _positions(8 * len(columns), matches, chosen)
+    for s in sets:
         key = _byte(columns, s[0])
         for at in s[1:]:
             key = F.shiftleft(key, 8).bitwiseOR(_byte(columns, at))
         keys.append(key)
     entries = prints.select(F.posexplode(F.array(*keys)).alias("set", "bytes"), *prints.columns)
-    return _links(entries.select(F.col("set").cast("short").alias("set"), F.col("bytes").cast("int").alias("bytes"), *prints.columns), columns, matches, radius)
+    return _links(entries.select(F.col("set").cast("short").alias("set"), F.col("bytes").cast("int").alias("bytes"), *prints.columns), columns, matches, radius, np.array(sets) if every else None)
 
 
-def _links(lists: DataFrame, columns: list[str], matches: int, radius: int) -> DataFrame:
+def _links(lists: DataFrame, columns: list[str], matches: int, radius: int, positions: np.ndarray | None = None) -> DataFrame:
     """Links from the lists' members (set, bytes, node, fingerprint; without columns of it the node is the fingerprint).
 
     Lists lie sorted in their partition and stream through its task in blocks of SIDE x SIDE pairs. A list gives a link
     only where that joins two groups not yet joined in it: less links than it has members, however many pairs are
     near. A list of more than SLICE members is cut into slices, and every two slices meet in a task of their own.
+    With ``positions`` (those of each set), every near pair is given, by the first list that holds both.
     """
     longs = len(columns)
+    most = SLICE if positions is None else SLICE_OF_PAIRS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the end of a batch may lie within a list: its last list waits for the next batch
@@ -205,10 +295,12 @@ def _links(lists: DataFrame, columns: list[str], matches: int, radius: int) -> D
         cut: dict[tuple[int, int], int] = {}
 
         def slices(s: int, key: int, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            number = cut[s, key] = cut.get((s, key), -1) + 1
             n = len(ids)
+            first = cut.get((s, key), -1) + 1
+            number = first + (np.arange(n) // most if positions is not None else np.zeros(n, np.int64))
+            cut[s, key] = int(number[-1])
             own = [pa.array(fps[:, k].copy().view(np.int64)) for k in range(longs)]
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.array(np.full(n, s, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(np.full(n, number, np.int32)), *own], names=["a", "b", "list", "bytes", "slice", *columns])
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.array(np.full(n, s, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(number.astype(np.int32)), *own], names=["a", "b", "list", "bytes", "slice", *columns])
 
         def work(sets: np.ndarray, keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
@@ -227,8 +319,19 @@ def _links(lists: DataFrame, columns: list[str], matches: int, radius: int) -> D
                     starts, ends = starts[1:], ends[1:]
                 cut.clear()
             several = ends - starts > 1
-            yield _links_of(_join_runs(ids, fps, starts[several], ends[several], matches, radius), longs)
-            if not last and len(held[2]) >= SLICE:
+            if positions is None:
+                yield _links_of(_join_runs(ids, fps, starts[several], ends[several], matches, radius), longs)
+            else:
+                found: list[np.ndarray] = []
+                held_pairs = 0
+                for pairs in _run_pairs(sets, ids, fps, starts[several], ends[several], matches, radius, positions):
+                    found.append(pairs)
+                    held_pairs += len(pairs)
+                    if held_pairs >= HELD_PAIRS:
+                        yield _links_of(found, longs)
+                        found, held_pairs = [], 0
+                yield _links_of(found, longs)
+            if not last and len(held[2]) >= most:
                 yield slices(int(held[0][0]), int(held[1][0]), held[2], held[3])
                 held = tuple(x[:0] for x in held)
 
@@ -243,11 +346,11 @@ def _links(lists: DataFrame, columns: list[str], matches: int, radius: int) -> D
     links = out.where("slice is null").select("a", "b")
     parts = out.where("slice is not null")
     if parts.limit(1).count():
-        links = links.unionAll(_slice_pairs(parts, columns, matches, radius))
+        links = links.unionAll(_slice_pairs(parts, columns, matches, radius, positions))
     return links
 
 
-def _slice_pairs(parts: DataFrame, columns: list[str], matches: int, radius: int) -> DataFrame:
+def _slice_pairs(parts: DataFrame, columns: list[str], matches: int, radius: int, positions: np.ndarray | None = None) -> DataFrame:
     """Links of lists that were cut: every two slices of a list (and each slice with itself) make a group."""
     last = parts.groupBy("list", "bytes").agg(F.max("slice").alias("last"))
     each = parts.join(last, ["list", "bytes"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
@@ -257,7 +360,11 @@ def _slice_pairs(parts: DataFrame, columns: list[str], matches: int, radius: int
         ids = pdf["a"].to_numpy()
         f = np.ascontiguousarray(pdf[columns or ["a"]].to_numpy(dtype=np.int64)).view(np.uint64)
         first = (pdf["slice"] == key[2]).to_numpy()
-        pairs = _join_sides(ids, f, None, None, matches, radius) if key[2] == key[3] else _join_sides(ids[first], f[first], ids[~first], f[~first], matches, radius)
+        sides = (ids, f, None, None) if key[2] == key[3] else (ids[first], f[first], ids[~first], f[~first])
+        if positions is None:
+            pairs = _join_sides(*sides, matches, radius)
+        else:
+            pairs = np.concatenate([np.empty((0, 2), np.int64), *_side_pairs(*sides, int(key[0]), matches, radius, positions)])
         pairs = np.sort(pairs, axis=1)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -305,7 +412,40 @@ def keep_one(docs: DataFrame, width: int = KEEP_WIDTH, longs: int = KEEP_LONGS,
     prints = durable(wide_fingerprints(named.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], width, longs))
     columns = [f"fp{k}" for k in range(longs)]
     each = durable(prints.groupBy(*columns).agg(F.min("doc_id").alias("node")).select("node", *columns))
-    linked = components(wide_links(each, matches, radius))
+    return _first_of_each(docs, named, prints, each, components(wide_links(each, matches, radius)), id_col, text_col)
+
+
+#: Near copies for keep_one_verified(): the least similarity, and what fingerprints of pairs that are compared must share.
+#: At 0.8 that is two deviations below the mean of the shared bytes, and four above that of the bits.
+LEAST, NEAR_MATCHES, NEAR_RADIUS = 0.8, 4, 64
+
+
+def keep_one_verified(docs: DataFrame, least: float = LEAST, width: int = KEEP_WIDTH, longs: int = KEEP_LONGS, matches: int = NEAR_MATCHES, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As keep_one(), but only texts are linked whose sets of shingles have a similarity (Jaccard) of ``least`` or more.
+
+    Fingerprints, here of a text's different shingles, only say which pairs are compared: all that share ``matches``
+    bytes and differ in at most ``radius`` bits. Texts of equal sets are linked by the sets' 128-bit digest.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    source = named.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = durable(_set_prints(source, ["doc_id"], width, longs))
+    columns = [f"fp{k}" for k in range(longs)]
+    each = durable(prints.groupBy("n", "d0", "d1", *columns).agg(F.min("doc_id").alias("node")).select("node", "n", "d0", "d1", *columns))
+    near = wide_links(each.where("n > 1").select("node", *columns), matches, radius, every=True)
+    # sizes alone tell of many pairs that they are less similar
+    size = each.select("node", "n")
+    near = near.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9).select("a", "b")
+    near = durable(near.distinct())
+    wanted = near.select("a").unionAll(near.select("b")).distinct().toDF("doc_id")
+    sets = _shingle_sets(source.join(wanted, "doc_id", "left_semi"), ["doc_id"], width)
+    sets = durable(sets.dropDuplicates(["doc_id", "hashes"]))
+    both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    linked = both.where(shared >= (F.size("ha") + F.size("hb") - shared) * least - 1e-9).select("a", "b")
+    return _first_of_each(docs, named, prints, each, components(linked), id_col, text_col)
+
+
+def _first_of_each(docs: DataFrame, named: DataFrame, prints: DataFrame, each: DataFrame, linked: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stay = each.select(F.col("node").alias("_stays")).distinct().join(linked.where("node <> root").select("node"), F.col("_stays") == F.col("node"), "left_anti")
     kept = named.join(stay, F.col(id_col) == F.col("_stays"), "left_semi")
     if prints.groupBy("doc_id").count().where("count > 1").limit(1).count():

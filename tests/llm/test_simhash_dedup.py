@@ -162,3 +162,60 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     found = {r.node: r.root for r in components(links).collect()}
     assert found == {i: 0 for i in range(51)} | {100: 100, 101: 100}
+
+
+def similarity(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("size", [2048, 5])
+def test_only_similar_texts_go(spark, monkeypatch, size):
+    """Copies around a similarity of 0.8, repeats that rule the fingerprint, and sets that repeats hide."""
+    monkeypatch.setattr(S, "SLICE_OF_PAIRS", size)
+    monkeypatch.setattr(S, "SIDE", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "61")
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(10):
+        base = [rng.choice(words) for _ in range(rng.randint(150, 400))]
+        for c in range(8):
+            copy = list(base)
+            for _ in range(c * len(base) // 150):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((rng.randrange(10**6), " ".join(copy)))
+    for _ in range(12):  # one shingle makes up most of the text; the rest differs
+        rows.append((rng.randrange(10**6), " ".join(["a"] * 200 + [rng.choice(words) for _ in range(60)])))
+    tail = " ".join(rng.choice(words) for _ in range(60))
+    rows += [(10**6 + 10, "b " * 300 + tail), (10**6 + 11, "b " * 5 + tail)]
+    rows += [(10**6 + 1, ""), (10**6 + 2, None), (10**6 + 3, "three short words"), (10**6 + 4, "Three short  words")]
+    texts = [t or "" for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    df = spark.createDataFrame([*rows, (None, texts[0])], "doc_id long, text string").repartition(3)
+    try:
+        got = [r.doc_id for r in S.keep_one_verified(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert None in got and sorted(d for d in got if d is not None) == sorted(least.values())
+
+
+def test_the_dedup_stage_verifies(spark):
+    import corpus_pipeline as C
+
+    rows = [(k, " ".join(["a"] * 200 + [f"w{k}x{i}" for i in range(60)])) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in C.near_dedup(spark, docs, "").collect()) == [0, 1, 2, 3]
