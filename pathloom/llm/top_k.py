@@ -3,8 +3,8 @@
 Each partition of the vectors is worked through in blocks. A block has a sorted list for each dimension; a query reads
 the lists from their better end (the largest components where its own is positive, the smallest where negative),
 scores what it meets in full, and stops as soon as the bound for all unseen vectors (the inner product of the query
-with the lists' current components) is below its kth best so far, which earlier blocks have raised already. A query
-whose bound doesn't fall fast reads the rest of the block at once, as one matrix product.
+with the lists' current components) is below its kth best so far, which earlier blocks have raised already. The bound
+is looked at whenever the depth has doubled.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pathloom.llm import _common
 
 #: Queries of one pass over the vectors, and vectors of one block of lists: both bound a task's memory.
 QUERIES, BLOCK = 2048, 8192
-#: Depths in the lists at which the bound is looked at.
-DEPTHS = (2, 8, 24)
+#: Depth in the lists at which the bound is looked at first; it doubles until the bound allows to stop.
+FIRST_DEPTH = 2
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -61,45 +61,32 @@ class Block:
     def search(self, qs: np.ndarray, qids: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Merges each query's best of this block into ``best``."""
         n, d = self.vecs.shape
+        if n == 0:
+            return
         if d == 0:
             for j in range(len(qs)):
                 self._merge(j, np.zeros(n), self.ids, qids, k, best)
             return
-        rest = []
         dims = np.arange(d)
         for j, q in enumerate(qs):
-            up = q > 0
-            live = dims[q != 0]
+            up, down = dims[q > 0], dims[q < 0]
             seen = np.zeros(n, dtype=bool)
-            done = False
-            for depth in DEPTHS:
-                if depth >= n:
-                    break
-                at = np.where(up[live], n - depth, depth - 1)
-                met = np.concatenate([self.order[n - depth :, live[up[live]]].ravel(), self.order[:depth, live[~up[live]]].ravel()])
-                new = np.unique(met)
-                new = new[~seen[new]]
-                if seen.sum() + len(new) > n // 2:
-                    break
+            before, depth = 0, min(FIRST_DEPTH, n)
+            while True:
+                new = np.zeros(n, dtype=bool)
+                new[self.order[n - depth : n - before, up].ravel()] = True
+                new[self.order[before:depth, down].ravel()] = True
+                if depth == n:  # a query of zeros reads no list
+                    new[:] = True
+                new = np.flatnonzero(new & ~seen)
                 seen[new] = True
                 if len(new):
                     self._merge(j, self.vecs[new] @ q, self.ids[new], qids, k, best)
-                bound = (q[live] * self.vecs[self.order[at, live], live]).sum()
+                bound = (q[up] * self.vecs[self.order[n - depth, up], up]).sum() + (q[down] * self.vecs[self.order[depth - 1, down], down]).sum()
                 s = best[j][0]
-                if len(s) == k and bound < s[-1]:
-                    done = True
+                if depth == n or len(s) == k and bound < s[-1]:
                     break
-            if not done:
-                rest.append(j)
-        for i in range(0, len(rest), 64):
-            part = rest[i : i + 64]
-            for j, scores in zip(part, qs[part] @ self.vecs.T):
-                s = best[j][0]
-                if len(s) == k:
-                    keep = scores >= s[-1]
-                    self._merge(j, scores[keep], self.ids[keep], qids, k, best)
-                else:
-                    self._merge(j, scores, self.ids, qids, k, best)
+                before, depth = depth, min(2 * depth, n)
 
     @staticmethod
     def _merge(j: int, scores: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int, best: list) -> None:

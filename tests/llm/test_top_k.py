@@ -63,3 +63,16 @@ def test_odd_vectors(spark):
     got = {(r.query_id, r["rank"], r.vec_id) for r in K.fagin_top_k(v.where("id = 0"), v, 10).collect()}
     assert got == {(0, 1, 8), (0, 2, 5)}
     assert K.fagin_top_k(v.limit(0), v, 3).collect() == [] and K.fagin_top_k(v, v.limit(0), 3).collect() == []
+
+
+def test_reads_on_to_the_depth_where_the_bound_falls(monkeypatch):
+    vecs = np.random.default_rng(1).integers(-10, 11, (4000, 4)).astype(float)
+    for j in range(4):  # long components of bad vectors lead each list
+        vecs[60 * j : 60 * j + 60] = -100
+        vecs[60 * j : 60 * j + 60, j] = 100
+    vecs[999] = 50
+    block, scored, best = K.Block(np.arange(4000), vecs), [], [(np.empty(0), np.empty(0, dtype=np.int64))]
+    merge = K.Block._merge
+    monkeypatch.setattr(K.Block, "_merge", staticmethod(lambda j, s, i, *a: (scored.append(len(s)), merge(j, s, i, *a))))
+    block.search(np.array([[1.0, 1, 1, 1]]), np.array([-1]), 1, best)
+    assert best[0][1].tolist() == [999] and sum(scored) < 1000
