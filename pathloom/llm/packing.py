@@ -53,6 +53,7 @@ def best_two_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[in
             times = min(gap // x, int(count[x]) - used[x])
             used[x] += times
             gap -= x * times
+        peak = used.copy()
         while gap:  # the smallest gives way to the pair that leaves the least room
             small = min(used)
             room = gap + small
@@ -76,8 +77,10 @@ def best_two_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[in
                 del used[small]
             used[int(there[best])] += 1
             used[int(partner[best])] += 1
+            peak |= used
             gap = room - int(total[best])
-        times = min(int(count[x]) // n for x, n in used.items())
+        # the same choices again for as long as all documents that were tried on the way are there
+        times = 1 + min((int(count[x]) - peak[x]) // n for x, n in used.items())
         for x, n in used.items():
             count[x] -= n * times
         plan.append(([x for x, n in sorted(used.items(), reverse=True) for _ in range(n)], times))
@@ -102,11 +105,19 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     """``pieces`` with sequence_id and offset.
 
     Lengths lie between 1 and ``capacity`` (others raise an error: cut them first). Rows with a null length get null.
-    Equal lengths are interchangeable; repeated rows are separate pieces. An empty table gives an empty result.
+    Equal lengths are interchangeable; repeated rows are separate pieces. An empty table gives an empty result. Columns
+    that are called sequence_id or offset already are replaced; other names, whatever they are, stay.
     """
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    fields = [pieces.schema[c] for c in names]
+    own = [f"c{i}" for i in range(len(names))]  # no name of the caller's clashes with those below
+    renamed = pieces.select(*names).toDF(*own)
+    length = F.col(own[names.index(length_col)]).cast("long")
     # the partition number and the order in it are data from here on: a second run can't change them
-    kept = durable(pieces.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
-    counts = kept.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("_length"), "_part").agg(F.count(F.lit(1)).alias("_n"))
+    kept = durable(renamed.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    counts = kept.where(length.isNotNull()).groupBy(length.alias("_length"), "_part").agg(F.count(F.lit(1)).alias("_n"))
     counts = durable(counts)
     # at most `capacity` rows
     histogram = {r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("_n")).limit(capacity + 2).collect()}
@@ -115,7 +126,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     rows = places(best_two_fit(histogram, capacity))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = (
-        kept.withColumn("_length", F.col(length_col).cast("long"))
+        kept.withColumn("_length", length)
         .withColumn("_local", F.row_number().over(Window.partitionBy("_part", "_length").orderBy("_row")) - 1)
         .join(before.hint("merge"), ["_part", "_length"], "left")  # counts grow with the partitions: never broadcast
         .withColumn("_rank", F.col("_before") + F.col("_local"))
@@ -124,9 +135,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     runs: dict[int, list[tuple[int, int, int]]] = {}
     for x, first, times, bin_, offset in rows:
         runs.setdefault(x, []).append((first, bin_, offset))
-    # bounded by the capacity: bins of one make-up use up a length, so runs don't grow with the number of documents
+    # bounded by the capacity: each make-up leaves less of a length than it tries, so runs don't grow with the documents
     arrays = {x: tuple(np.array([r[i] for r in v], dtype=np.int64) for i in range(3)) for x, v in runs.items()}
-    columns = pieces.columns
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,20 +150,16 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
                 r = ranks[at].astype(np.int64)
                 k = np.searchsorted(first, r, side="right") - 1
                 seq[at], off[at] = bin_[k] + r - first[k], offset[k]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(seq, mask=~known), pa.array(off, mask=~known)], names=[*columns, "sequence_id", "offset"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array(seq, mask=~known), pa.array(off, mask=~known)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*columns, "_length", "_rank").mapInArrow(put, StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return ranked.select(*own, "_length", "_rank").mapInArrow(put, StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-CONTROL = re.compile("[\\x00-\\x1f\\x7f]").search
-
-
-LATIN = re.compile("[\x20-\u012f\u0131-\u0148\u014a-\u017e]*").fullmatch
+#: Letters and signs on which no two versions of Unicode differ; no white space, no controls.
+LATIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u0148\u014a-\u017e]*").fullmatch
 
 
 def word_ranks(path: str):
@@ -211,29 +217,26 @@ class WordIds:
         return np.array(found, dtype="<u4").tobytes()
 
     def learn(self, new: list[str]) -> None:
-        """Keeps the ids of words met for the first time; all in one call where the ranks allow."""
+        """Keeps the ids of words met for the first time; all in one call where the ranks allow, which is where Unicode
+        tables of any version agree on letters and forms. Other words go to the library, as their classes may differ."""
         if len(self.ids) + len(new) > self.known:
             self.ids.clear()
-        if self.ranked:
-            joined = " ".join(new)
+        if self.ranked and new:
+            sure = new if LATIN("".join(new)) else [w for w in new if LATIN(w)]
             encoding, blank = self.ranked
-            if not CONTROL(joined):  # on which libraries may differ as to white space
-                if LATIN(joined):  # composed already, and lower case goes letter by letter
-                    text = joined.lower()
-                else:
-                    text = self.normalizer.normalize_str(joined)
-                text = " ".join([w + "\0" if w.isalpha() else self.mark("\\g<0>\0", w) for w in text.split(" ")])
-                flat = np.array(encoding.encode_ordinary(text), dtype="<u4")
-                cuts = np.flatnonzero(flat == blank)
-                if len(cuts) == len(new) - 1:
-                    raw, ends = flat.tobytes(), [*(4 * cuts).tolist(), 4 * len(flat)]
-                    begin = 0
-                    for w, e in zip(new, ends):
-                        self.ids[w] = raw[begin:e]
-                        begin = e + 4
-                    return
+            # composed already, and lower case goes letter by letter
+            text = " ".join([w + "\0" if w.isalpha() else self.mark("\\g<0>\0", w) for w in " ".join(sure).lower().split(" ")])
+            flat = np.array(encoding.encode_ordinary(text), dtype="<u4")
+            cuts = np.flatnonzero(flat == blank)
+            if sure and len(cuts) == len(sure) - 1:
+                raw, ends = flat.tobytes(), [*(4 * cuts).tolist(), 4 * len(flat)]
+                begin = 0
+                for w, e in zip(sure, ends):
+                    self.ids[w] = raw[begin:e]
+                    begin = e + 4
         for w in new:
-            self.ids[w] = self.word(w)
+            if w not in self.ids:
+                self.ids[w] = self.word(w)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

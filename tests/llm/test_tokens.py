@@ -48,6 +48,49 @@ def test_word_ids_are_the_librarys(spark):
             assert small.encode(t or "") == slow.encode(t or "") == want
 
 
+def test_word_ids_of_every_code_point():
+    """Between letters and a digit, so that a code point's class decides where words are cut."""
+    encoder = P.WordIds(tokenizer("word_bpe_49k.json"), known=1 << 21)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 4096):
+        texts = [f"a{c}1" for c in points[i : i + 4096]]
+        for t, want in zip(texts, encoder.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert encoder.encode(t) == np.array(want.ids, dtype="<u4").tobytes(), hex(ord(t[1]))
+
+
+def slow_best_two_fit(lengths, capacity):
+    """Document by document: fill with the longest that fits, then exchange the smallest for the pair that fits best."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        own, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                own.append(x), left.remove(x)
+                gap -= x
+        while gap:
+            small = min(own)
+            pairs = [(left[i] + left[j], max(left[i], left[j])) for i in range(len(left)) for j in range(i) if left[i] + left[j] <= gap + small]
+            best = max(pairs, default=(0, 0))[0]
+            if best <= small:
+                break
+            # of pairs of one sum, the one with the smallest member
+            least = min(min(left[i], left[j]) for i in range(len(left)) for j in range(i) if left[i] + left[j] == best)
+            own.remove(small), left.remove(least), left.remove(best - least)
+            own += [least, best - least]
+            left = sorted([*left, small], reverse=True)
+            gap = gap + small - best
+        bins.append(sorted(own))
+    return sorted(bins)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plans_match_the_method_document_by_document(seed):
+    rng = np.random.default_rng(seed)
+    lengths = [int(x) for x in rng.integers(1, 60 if seed % 2 else 25, 60)]
+    plan = P.best_two_fit(Counter(lengths), 100)
+    assert sorted(sorted(own) for own, times in plan for _ in range(times)) == slow_best_two_fit(lengths, 100)
+
+
 def check_packing(rows, ids_by_doc, capacity):
     pieces, bins = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -109,5 +152,9 @@ def test_pack_of_other_rows(spark):
     assert sorted((r.k or "", r.length, r.sequence_id is None) for r in rows if r.length is None) == [("c", None, True)]
     assert len({r.sequence_id for r in rows} - {None}) == 2
     assert P.pack(df.limit(0), 10).collect() == []
+    names = ["length", "_part", "_row", "_length", "_rank", "_before", "sequence_id", "offset", "c0"]
+    odd = P.pack(spark.createDataFrame([tuple(range(3, 12)), tuple(range(4, 13))], names), 10)
+    assert odd.columns == [c for c in names if c not in ("sequence_id", "offset")] + ["sequence_id", "offset"]
+    assert sorted((r["_part"], r["c0"], r.sequence_id) for r in odd.collect()) == [(4, 11, 0), (5, 12, 0)]
     with pytest.raises(ValueError, match="between 1 and 5"):
         P.pack(df, 5)
