@@ -1,9 +1,10 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
-Fingerprints at most ``radius`` bits apart share at least ``8 - radius`` of their eight positional bytes. The index
-keys each distinct fingerprint by its bytes at every set of that many positions, so a pair that reaches the least
-number of matches meets in a list, and its tally there decides. Lists hold distinct fingerprints only (copies are
-represented by one), pairs that don't reach the tally are dropped, and the others' bits are compared.
+Fingerprints at most ``radius`` bits apart share at least ``8 - radius`` of their eight positional bytes. A list of the
+index holds the fingerprints that have given bytes at given positions: at a radius of 4, at 20 sets of three positions
+that are chosen so that any four positions hold one of them (a Turan system). A pair that reaches the least number of
+matches so meets in a list; there its shared positional bytes are tallied, pairs below the least number are dropped,
+and the others' bits are compared. Lists hold distinct fingerprints only (copies are represented by one).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm._common import durable, map_rows
-from pathloom.llm.components import components
+from pathloom.llm.components import HOT, components, join_hot
 
 #: Shingles whose bits are counted at a time, and the longest side of a block of pairs: both bound memory.
 CHUNK, SIDE = 1 << 14, 1024
@@ -26,8 +27,6 @@ CHUNK, SIDE = 1 << 14, 1024
 SLICE = 16_384
 #: Members of a slice where every pair of a list is wanted, and pairs that are held at a time: both bound memory.
 SLICE_OF_PAIRS, HELD_PAIRS = 2048, 1 << 20
-#: Fingerprints with more than this part of all rows are joined by broadcast; there are less than HOT.
-HOT = 1000
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -93,40 +92,34 @@ def fingerprints(docs: DataFrame, keys: list[str], width: int = 4, text_col: str
     return map_rows(docs, keys, text_col, run, "fp long")
 
 
-def wide_fingerprints(docs: DataFrame, keys: list[str], width: int, longs: int, text_col: str = "text") -> DataFrame:
-    """``keys`` and fp0, fp1, ... (signed longs) for each row; a null text counts as empty."""
-
-    def run(parts: Iterator[list]) -> Iterator[dict]:
-        for texts in parts:
-            prints = np.array([wide_fingerprint(t, width, longs) for t in texts], dtype=np.uint64).view(np.int64)
-            yield {f"fp{k}": prints[:, k].copy() for k in range(longs)}
+def _digests(sets: list[np.ndarray]) -> dict:
+    import xxhash
 
-    return map_rows(docs, keys, text_col, run, ", ".join(f"fp{k} long" for k in range(longs)))
+    digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8") for s in sets])
+    return {"n": np.array([len(s) for s in sets]), "d0": digests[:, 0].copy(), "d1": digests[:, 1].copy()}
 
 
 def _set_prints(docs: DataFrame, keys: list[str], width: int, longs: int, text_col: str = "text") -> DataFrame:
     """``keys``, n, d0, d1 (size and digest of the set of shingles) and fp0, fp1, ... (the set's SimHash) for each row."""
 
     def run(parts: Iterator[list]) -> Iterator[dict]:
-        import xxhash
-
         for texts in parts:
             sets = [shingle_set(t, width) for t in texts]
-            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8") for s in sets])
             prints = np.array([_simhash(s, longs) for s in sets], dtype=np.uint64).view(np.int64)
-            yield {"n": np.array([len(s) for s in sets]), "d0": digests[:, 0].copy(), "d1": digests[:, 1].copy(), **{f"fp{k}": prints[:, k].copy() for k in range(longs)}}
+            yield _digests(sets) | {f"fp{k}": prints[:, k].copy() for k in range(longs)}
 
     return map_rows(docs, keys, text_col, run, "n long, d0 long, d1 long, " + ", ".join(f"fp{k} long" for k in range(longs)))
 
 
-def _shingle_sets(docs: DataFrame, keys: list[str], width: int, text_col: str = "text") -> DataFrame:
-    """``keys`` and hashes (of the different shingles) for each row."""
+def _set_hashes(docs: DataFrame, keys: list[str], width: int, text_col: str = "text") -> DataFrame:
+    """``keys``, n, d0, d1 and hashes (of the different shingles) for each row."""
 
     def run(parts: Iterator[list]) -> Iterator[dict]:
         for texts in parts:
-            yield {"hashes": [shingle_set(t, width).view(np.int64) for t in texts]}
+            sets = [shingle_set(t, width) for t in texts]
+            yield _digests(sets) | {"hashes": [s.view(np.int64) for s in sets]}
 
-    return map_rows(docs, keys, text_col, run, "hashes array<long>")
+    return map_rows(docs, keys, text_col, run, "n long, d0 long, d1 long, hashes array<long>")
 
 
 def _tally(a: np.ndarray, b: np.ndarray, matches: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +229,13 @@ def _links_of(found: list[np.ndarray], longs: int) -> pa.RecordBatch:
 
 
 def _positions(size: int, matches: int, chosen: int) -> list[tuple[int, ...]]:
-    """Sets of ``chosen`` of ``size`` positions, of which any ``matches`` positions hold at least one: the positions are
-    dealt to as few groups as make ``chosen`` of them meet in one; the sets are those within a group."""
-    if chosen == matches:
-        return list(combinations(range(size), matches))
+    """Sets of ``chosen`` of ``size`` positions, of which any ``matches`` positions hold at least one."""
+    if chosen == 1:  # of all positions but these, one at most is missing
+        return [(i,) for i in range(size - matches + 1)]
+    if (matches, chosen) == (4, 3):  # Turan's system: within a group, or two of a group and one of the next
+        group = [i * 3 // size for i in range(size)]
+        return [s for s in combinations(range(size), 3) if sorted((group[i] - group[s[0]]) % 3 for i in s) in ([0, 0, 0], [0, 0, 1], [0, 2, 2])]
+    # the positions are dealt to as few groups as make `chosen` of them meet in one; the sets are those within a group
     groups = (matches - 1) // (chosen - 1)
     return [s for g in range(groups) for s in combinations(range(g, size, groups), chosen)]
 
@@ -255,17 +251,16 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
         raise ValueError("a byte index needs a radius below 8")
     matches = 8 - radius
     fp = F.col(prints.columns[0])
-    masks = [sum(0xFF << 8 * p for p in s) for s in _positions(8, matches, matches)]
+    masks = [sum(0xFF << 8 * p for p in s) for s in _positions(8, matches, min(3, max(1, matches - 1)))]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     # a fingerprint with the other bytes blanked is the list's key, and itself the node
     entries = prints.select(F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("set", "bytes"), fp.alias("node"))
     return _links(entries.select(F.col("set").cast("byte").alias("set"), "bytes", "node"), [], matches, radius)
 
 
-def wide_links(prints: DataFrame, matches: int, radius: int, chosen: int = 2, every: bool = False) -> DataFrame:
-    """a, b (a < b): links that join just those nodes whose fingerprints share at least ``matches`` positional bytes and
-    are at most ``radius`` bits apart, over any number of steps; with ``every``, all pairs of such nodes, each once.
-    ``prints``: node and fp0, fp1, ..., without nulls."""
+def wide_links(prints: DataFrame, matches: int, radius: int, chosen: int = 2) -> DataFrame:
+    """a, b (a < b): all pairs of nodes whose fingerprints share at least ``matches`` positional bytes and are at most
+    ``radius`` bits apart, each once. ``prints``: node and fp0, fp1, ..., without nulls."""
     columns = prints.columns[1:]
     keys = []
     sets = _positions(8 * len(columns), matches, chosen)
@@ -275,7 +270,7 @@ def wide_links(prints: DataFrame, matches: int, radius: int, chosen: int = 2, ev
             key = F.shiftleft(key, 8).bitwiseOR(_byte(columns, at))
         keys.append(key)
     entries = prints.select(F.posexplode(F.array(*keys)).alias("set", "bytes"), *prints.columns)
-    return _links(entries.select(F.col("set").cast("short").alias("set"), F.col("bytes").cast("int").alias("bytes"), *prints.columns), columns, matches, radius, np.array(sets) if every else None)
+    return _links(entries.select(F.col("set").cast("short").alias("set"), F.col("bytes").cast("int").alias("bytes"), *prints.columns), columns, matches, radius, np.array(sets))
 
 
 def _links(lists: DataFrame, columns: list[str], matches: int, radius: int, positions: np.ndarray | None = None) -> DataFrame:
@@ -384,9 +379,9 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, id_col:
     each = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     linked = components(near_links(each.select("fp"), radius))
     member = linked.join(each.select(F.col("fp").alias("node"), "least"), "node")
-    # a component is reduced by partial aggregation; the hot ones join by broadcast, and there are at most HOT of each
-    roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
+    # a component is reduced by partial aggregation
+    roots = durable(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = join_hot(member, roots, "root", roots.agg(F.sum("n")).first()[0] or 0).select(F.col("node").alias("fp"), "component_id")
     classes = durable(each.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * HOT > total  # less than HOT fingerprints can have so large a share
@@ -395,59 +390,60 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, id_col:
     return prints.join(few, "fp").unionAll(rest).select("doc_id", "fp", "component_id")
 
 
-#: Near copies for keep_one(): 5-word shingles, 256 bits. At a similarity of 0.8, 39 bits differ on average, with a deviation
-#: of 6, and a byte is shared with a probability of 0.27: 8.6 of 32, with a deviation of 2.5.
-KEEP_WIDTH, KEEP_LONGS, KEEP_MATCHES, KEEP_RADIUS = 5, 4, 6, 44
-
-
-def keep_one(docs: DataFrame, width: int = KEEP_WIDTH, longs: int = KEEP_LONGS, matches: int = KEEP_MATCHES, radius: int = KEEP_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
-
-    Fingerprints are wider than simhash_components() takes them, as 64 bits tell a similarity of 0.8 too badly: pairs that
-    share ``matches`` of 8 * ``longs`` positional bytes are compared, and linked if at most ``radius`` bits differ. Rows
-    with a null doc_id stay, as nothing can name them. Of rows that repeat both id and text, one stays. Texts without
-    words are copies of each other.
-    """
-    named = docs.where(F.col(id_col).isNotNull())
-    prints = durable(wide_fingerprints(named.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], width, longs))
-    columns = [f"fp{k}" for k in range(longs)]
-    each = durable(prints.groupBy(*columns).agg(F.min("doc_id").alias("node")).select("node", *columns))
-    return _first_of_each(docs, named, prints, each, components(wide_links(each, matches, radius)), id_col, text_col)
-
-
-#: Near copies for keep_one_verified(): the least similarity, and what fingerprints of pairs that are compared must share.
-#: At 0.8 that is two deviations below the mean of the shared bytes, and four above that of the bits.
-LEAST, NEAR_MATCHES, NEAR_RADIUS = 0.8, 4, 64
+#: Near copies: 5-word shingles, 256 bits, the least similarity, and what fingerprints of pairs that are compared must
+#: share. At a similarity of 0.8, 39 bits differ on average, with a deviation of 6, and a byte is shared with a
+#: probability of 0.27: 8.6 of 32, with a deviation of 2.5. The shared bytes asked for are two deviations below that.
+WIDTH, LONGS, LEAST, MATCHES, RADIUS = 5, 4, 0.8, 4, 64
 
 
-def keep_one_verified(docs: DataFrame, least: float = LEAST, width: int = KEEP_WIDTH, longs: int = KEEP_LONGS, matches: int = NEAR_MATCHES, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As keep_one(), but only texts are linked whose sets of shingles have a similarity (Jaccard) of ``least`` or more.
+def near_classes(docs: DataFrame, least: float = LEAST, width: int = WIDTH, longs: int = LONGS, matches: int = MATCHES, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """prints (doc_id, n, d0, d1: size and digest of the set of shingles, for each row of ``docs``: doc_id, text), and
+    classes (n, d0, d1, node, root): for each different set its number and the smallest of its group's numbers.
 
-    Fingerprints, here of a text's different shingles, only say which pairs are compared: all that share ``matches``
-    bytes and differ in at most ``radius`` bits. Texts of equal sets are linked by the sets' 128-bit digest.
+    Sets are linked if their similarity (Jaccard) is ``least`` or more, equal ones by their 128-bit digest. Fingerprints
+    of the sets only say which pairs are compared: all that share ``matches`` bytes and differ in at most ``radius`` bits.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    source = named.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    prints = durable(_set_prints(source, ["doc_id"], width, longs))
     columns = [f"fp{k}" for k in range(longs)]
-    each = durable(prints.groupBy("n", "d0", "d1", *columns).agg(F.min("doc_id").alias("node")).select("node", "n", "d0", "d1", *columns))
-    near = wide_links(each.where("n > 1").select("node", *columns), matches, radius, every=True)
+    prints = durable(_set_prints(docs, ["doc_id"], width, longs))
+    # a set's number is its place in the table as it was written; ids may repeat, and several texts may have one id
+    each = durable(prints.groupBy("n", "d0", "d1", *columns).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
+    near = wide_links(each.where("n > 1").select("node", *columns), matches, radius)
     # sizes alone tell of many pairs that they are less similar
     size = each.select("node", "n")
     near = near.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9).select("a", "b")
     near = durable(near.distinct())
-    wanted = near.select("a").unionAll(near.select("b")).distinct().toDF("doc_id")
-    sets = _shingle_sets(source.join(wanted, "doc_id", "left_semi"), ["doc_id"], width)
-    sets = durable(sets.dropDuplicates(["doc_id", "hashes"]))
+    # the sets themselves, of one row each
+    wanted = near.select("a").unionAll(near.select("b")).distinct().toDF("node").join(each, "node").select("doc_id", "n", "d0", "d1", "node")
+    sets = _set_hashes(docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), ["doc_id"], width)
+    sets = durable(sets.join(wanted, ["doc_id", "n", "d0", "d1"]).dropDuplicates(["node"]).select("node", "hashes"))
     both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     linked = both.where(shared >= (F.size("ha") + F.size("hb") - shared) * least - 1e-9).select("a", "b")
-    return _first_of_each(docs, named, prints, each, components(linked), id_col, text_col)
+    classes = each.join(components(linked), "node", "left").select("n", "d0", "d1", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    return prints, durable(classes)
+
 
+def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDTH, longs: int = LONGS, matches: int = MATCHES, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group of near_classes() a row with the smallest id stays.
 
-def _first_of_each(docs: DataFrame, named: DataFrame, prints: DataFrame, each: DataFrame, linked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    stay = each.select(F.col("node").alias("_stays")).distinct().join(linked.where("node <> root").select("node"), F.col("_stays") == F.col("node"), "left_anti")
-    kept = named.join(stay, F.col(id_col) == F.col("_stays"), "left_semi")
-    if prints.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, text_col])
-    return kept.unionAll(docs.where(F.col(id_col).isNull()))
+    Rows with a null id stay, as nothing can name them, and link nothing. Null texts count as empty; texts without words
+    are copies of each other. Ids may repeat, and one id may have several texts: just one row of each group stays. All
+    columns come back as they are. An empty table gives an empty result.
+    """
+    columns = docs.columns
+    named = docs.where(F.col(id_col).isNotNull())
+    prints, classes = near_classes(named.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), least, width, longs, matches, radius)
+    # of each group the set with the smallest id, then with the smallest number
+    best = classes.groupBy("root").agg(F.min(F.struct("doc_id", "node", "n", "d0", "d1")).alias("x")).select("x.doc_id", "x.n", "x.d0", "x.d1")
+    best = durable(best)
+    repeated = durable(prints.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    own = [f"c{i}" for i in range(len(columns))]
+    at, text = own[columns.index(id_col)], own[columns.index(text_col)]
+    stay = named.toDF(*own).join(best.select(F.col("doc_id").alias("_id")), F.col(at) == F.col("_id"), "left_semi")
+    if repeated.limit(1).count():
+        # where ids repeat, the text tells which row is meant
+        twice = F.col(at) == F.col("_id")
+        many = repeated.select(F.col("doc_id").alias("_id"))
+        found = _set_prints(stay.join(many, twice, "left_semi"), own, width, longs, text).join(best.select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"), F.col("d0").alias("_d0"), F.col("d1").alias("_d1")), twice & F.col("n").eqNullSafe(F.col("_n")) & (F.col("d0") == F.col("_d0")) & (F.col("d1") == F.col("_d1")))
+        stay = stay.join(many, twice, "left_anti").unionAll(found.dropDuplicates([at, "n", "d0", "d1"]).select(*own))
+    return stay.unionAll(docs.where(F.col(id_col).isNull()).toDF(*own)).toDF(*columns)

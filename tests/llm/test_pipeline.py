@@ -1,18 +1,22 @@
+import re
 from collections import defaultdict
 
 import corpus_pipeline as C
-import numpy as np
 
 from pathloom.llm import decontaminate as D
 from pathloom.llm import packing as P
 from pathloom.llm import secrets as S
 from pathloom.llm.quality import score_quality
 from pathloom.llm.queries import tokenizer
-from pathloom.llm import simhash_dedup as N
 
 FOLDER = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", (text or "").lower()) if w]
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns = docs.columns
@@ -27,8 +31,9 @@ def test_stages_against_brute_force(spark, tmp_path):
     # quality: what the classifier accepts
     good = {r.doc_id for r in score_quality(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")).collect() if r.predicted == 1}
     assert texts[0] == {d: first[d] for d in good} and 0 < len(good) < len(first)
-    # near-duplicates: the smallest of each group of linked fingerprints
-    ids, prints = sorted(texts[0]), {d: N.wide_fingerprint(t, N.KEEP_WIDTH, N.KEEP_LONGS) for d, t in texts[0].items()}
+    # near-duplicates: the smallest of each group of texts that are similar by their 5-word shingles
+    ids = sorted(texts[0])
+    sets = {d: shingles(t) for d, t in texts[0].items()}
     parent = {d: d for d in ids}
 
     def root(d):
@@ -38,8 +43,8 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            differ = prints[a] ^ prints[b]
-            if (differ.view(np.uint8) == 0).sum() >= N.KEEP_MATCHES and np.bitwise_count(differ).sum() <= N.KEEP_RADIUS:
+            union = len(sets[a] | sets[b])
+            if not union or len(sets[a] & sets[b]) >= 0.8 * union:
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     assert texts[1] == {d: texts[0][d] for d in ids if root(d) == d}

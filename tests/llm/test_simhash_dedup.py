@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -98,9 +99,55 @@ def test_keep_one(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept.collect()) == sorted([(False, 2, long), (False, 7, rows[3][1]), (False, 9, None), (True, None, long)])
 
 
-def brute_kept(rows, matches, radius):
-    """Ids that stay: the least of each group of linked rows."""
-    prints = [S.wide_fingerprint(t or "", 5, 4) for _, t in rows]
+def test_positions_leave_no_gap():
+    rng = random.Random(2)
+    for matches, chosen in ((6, 2), (8, 2), (7, 3)):
+        sets = [set(s) for s in S._positions(32, matches, chosen)]
+        for _ in range(500):
+            shared = set(rng.sample(range(32), matches))
+            assert any(s <= shared for s in sets)
+    assert len(S._positions(8, 4, 3)) == 20
+    for matches in range(1, 9):
+        sets = [set(s) for s in S._positions(8, matches, min(3, max(1, matches - 1)))]
+        assert all(any(s <= set(shared) for s in sets) for shared in itertools.combinations(range(8), matches))
+
+
+def test_the_tally_rejects_pairs(spark, monkeypatch):
+    """Fingerprints that share three bytes meet in a list, and are no candidates; those with four are compared."""
+    base = 0x1122334455667788
+    three, four, near = base ^ 0x0101010101 << 24, base ^ 0xFFFFFFFF << 32, base ^ 0x02020202 << 32
+    seen = []
+    tally = S._tally
+    fps = np.array([base, three, four, near], dtype=np.uint64)
+    for radius, want in ((32, {(0, 2), (0, 3), (2, 3)}), (4, {(0, 3)})):
+        i, j = tally(fps[:, None], fps[:, None], 4, radius)
+        assert {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b} == want
+    rng = np.random.default_rng(7)
+    crowd = rng.integers(0, 1 << 40, 400, dtype=np.uint64) | np.uint64(0xABCDEF) << np.uint64(40)  # all share three bytes
+    monkeypatch.setattr(S, "_tally", lambda a, b, *more: seen.append((len(a) * len(b), len(tally(a, b, *more)[0]))) or tally(a, b, *more))
+    list(S._join_runs(np.arange(400), crowd[:, None], np.array([0]), np.array([400]), 4, 64))
+    assert sum(n for n, _ in seen) == 400 * 400 and sum(kept for _, kept in seen) < 400 * 20
+
+
+def test_repeated_ids(spark):
+    """Against brute force: ids with several texts, exact and near copies under one id and under several."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base = [[word() for _ in range(200)] for _ in range(12)]
+
+    def near(k):
+        copy = list(base[k])
+        copy[rng.randrange(200)] = word()
+        return " ".join(copy)
+
+    rows = [(2, " ".join(base[0])), (5, near(0)), (5, " ".join(base[1])), (5, " ".join(base[0])), (5, " ".join(base[0])), (6, ""), (6, None), (6, " ".join(base[2])), (6, near(2))]
+    for _ in range(60):
+        k = rng.randrange(3, 12)
+        rows.append((rng.randrange(10, 22), near(k) if rng.random() < 0.5 else " ".join(base[k])))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, d0 string, node int").repartition(3)
+    got = S.keep_one(df)
+    assert got.columns == df.columns
+    got = [(r.doc_id, r.text or "") for r in got.collect()]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -110,42 +157,22 @@ def brute_kept(rows, matches, radius):
 
     for i in range(len(rows)):
         for j in range(i):
-            d = prints[i] ^ prints[j]
-            if not d.any() or (d.view(np.uint8) == 0).sum() >= matches and np.bitwise_count(d).sum() <= radius:
+            if similarity(rows[i][1] or "", rows[j][1] or "") >= 0.8:
                 parent[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least[root(i)] = min(d, least.get(root(i), d))
-    return sorted(least.values())
+    groups = {}
+    for i, (d, t) in enumerate(rows):
+        groups.setdefault(root(i), []).append((d, t or ""))
+    assert len(got) == len(groups)
+    for members in groups.values():
+        least = min(d for d, _ in members)
+        assert sum((d, t) in members and d == least for d, t in got) == 1
 
 
-@pytest.mark.parametrize("size", [16_384, 6])
-def test_near_copies_go(spark, monkeypatch, size):
-    monkeypatch.setattr(S, "SLICE", size)
-    rng = random.Random(5)
-    words = [f"w{i}" for i in range(2000)]
-    rows = []
-    for g in range(12):
-        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
-        for c in range(8 if g == 3 else rng.randint(1, 3)):
-            copy = list(base)
-            for _ in range(c * len(base) // 150):
-                copy[rng.randrange(len(copy))] = rng.choice(words)
-            rows.append((rng.randrange(10**6), " ".join(copy)))
-    rows += [(10**6 + 1, ""), (10**6 + 2, None), (10**6 + 3, "three short words")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(r.doc_id for r in S.keep_one(df).collect())
-    assert got == brute_kept(rows, S.KEEP_MATCHES, S.KEEP_RADIUS)
-    assert len(got) <= 12 + 2 + 2
-
-
-def test_positions_leave_no_gap():
-    rng = random.Random(2)
-    for matches, chosen in ((6, 2), (8, 2), (7, 3)):
-        sets = [set(s) for s in S._positions(32, matches, chosen)]
-        for _ in range(500):
-            shared = set(rng.sample(range(32), matches))
-            assert any(s <= shared for s in sets)
+def test_components_of_hubs(spark, monkeypatch):
+    """A node with many links, joined by broadcast, beside a long chain."""
+    links = [(0, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(500)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(3000)} | {10_000 + i: 10_000 for i in range(501)}
 
 
 def test_first_bits_are_the_fingerprint():
@@ -207,7 +234,7 @@ def test_only_similar_texts_go(spark, monkeypatch, size):
         least[root(i)] = min(d, least.get(root(i), d))
     df = spark.createDataFrame([*rows, (None, texts[0])], "doc_id long, text string").repartition(3)
     try:
-        got = [r.doc_id for r in S.keep_one_verified(df).collect()]
+        got = [r.doc_id for r in S.keep_one(df).collect()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert None in got and sorted(d for d in got if d is not None) == sorted(least.values())
