@@ -87,11 +87,12 @@ def text_of(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_rows(df: DataFrame, keep: list[str], column: str, fn: Callable[[Iterator[list]], Iterator[dict]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, keep: list[str], column: str, fn: Callable[[Iterator[list]], Iterator[dict]], schema: str, nulls: bool = False) -> DataFrame:
     """Runs ``fn`` over lists of at most 512 values of ``column``; what it gives for each list (a dict of columns, one
-    value a row) is put beside the columns ``keep``. Only these columns reach Python; texts are not returned."""
+    value a row) is put beside the columns ``keep``. Only these columns reach Python; texts are not returned. A null
+    text is an empty one, unless ``nulls`` keeps it."""
     head = df.select(*keep).schema
-    source = df.select(*keep, text_of(df, column).alias("_text"))
+    source = df.select(*keep, (F.col(column).cast("string") if nulls else text_of(df, column)).alias("_text"))
     n = len(keep)
     added = StructType.fromDDL(schema)
     types = list(to_arrow_schema(added))

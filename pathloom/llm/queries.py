@@ -46,9 +46,9 @@ select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pathloom.llm.secrets import secret_digest
+    from pathloom.llm.secrets import secret_digest, vocabulary_words
 
-    return secret_digest(table(spark, sf_dir, "documents"))
+    return secret_digest(table(spark, sf_dir, "documents"), words=vocabulary_words(tokenizer("word_bpe_49k.json")))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ must try its place too. Values that a guesser needs many guesses for are secrets
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
-from math import log10
+from math import inf, log10
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import map_rows
+from pathloom.llm._common import Shipped, map_rows
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,65 +39,140 @@ WORDS = (
     "correct horse battery staple january february march april may june july august september october november december monday tuesday "
     "wednesday thursday friday saturday sunday spring summer autumn winter love money apple google amazon computer internet"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, RANK))
 PLAIN = str.maketrans("430157@$!", "aeolstasi")
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnujmik", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 NEXT = {(a, b) for row in ROWS for a, b in (*zip(row, row[1:]), *zip(row[::-1], row[::-1][1:]))}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
+DATES = range(3, 11)
+#: log10 of a walk's starts and directions, and of the factor that a number of repeats or steps costs each time it doubles.
+WALKS, DOUBLING = log10(len(NEXT)), log10(2)
+
+
+def word_ranks(more: list[str] | None = None) -> dict[str, int]:
+    """Rank (from 1) of each word: WORDS, then ``more``, the commonest first."""
+    ranks: dict[str, int] = {}
+    for w in [*WORDS, *(more or [])]:
+        ranks.setdefault(w, len(ranks) + 1)
+    return ranks
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """Whole words of a tokenizer file with word ends, in the order of its ids: the commonest, by and large, first."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    whole = [(i, w[: -len("</w>")]) for w, i in vocab.items() if w.endswith("</w>")]
+    return [w for _, w in sorted(whole) if len(w) >= 3 and w.isascii() and w.isalpha()]
 
 
 def _alphabet(c: str) -> float:
     return 1.0 if c.isdigit() else 1.42 if c.isalpha() and c.isascii() else 1.52 if c.isascii() else 2.5
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` takes; 0 for an empty one.
+def _word_cost(part: str, low: str, found: str, rank: int) -> float:
+    """``part`` as the word ``found``: its lower case ``low``, or that with signs read as letters."""
+    mixed = part != low and not part.isupper() and not part.istitle()
+    return log10(rank + 1) + (0.3 if part != low else 0) + (1.0 if mixed else 0) + (0.5 if found != low else 0)
+
 
-    Time and memory are linear in the value's length: words and dates have a greatest length, walks and repeats are
-    taken as long as they go on.
+class _Runs:
+    """Cheapest ways to end with a run of ``unit`` characters ``least`` times or more, however long it goes on.
+
+    The number of times costs DOUBLING for each power of two up to it. So for each power the least cost of the starts
+    that are near enough is wanted, which a queue of the starts that may still be the least gives at once.
     """
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(PLAIN)
-    if len(low) != n or len(plain) != n:  # a letter whose lower case is longer
-        low = plain = value
-    best = [0.0] + [float("inf")] * n
-    brute = [float("inf")] * (n + 1)  # the last segment is a brute-force span, which may still grow
-    step = [_alphabet(c) for c in value]
-    # ends of walks and repeats by their start
-    walk, same = [0] * n, [0] * n
-    for i in range(n - 1, -1, -1):
-        walk[i] = walk[i + 1] if i + 1 < n and walk[i + 1] and (low[i], low[i + 1]) in NEXT else i + 1
-        same[i] = same[i + 1] if i + 1 < n and low[i] == low[i + 1] else i + 1
-    for i in range(n):
-        at = best[i] + (FURTHER if i else 0.0)
-
-        def reach(j: int, cost: float) -> None:
-            if at + cost < best[j]:
-                best[j] = at + cost
-
-        grown = min(brute[i], at) + step[i]
-        brute[i + 1] = grown
-        best[i + 1] = min(best[i + 1], grown)
-        for text in (low, plain) if plain[i : i + LONGEST] != low[i : i + LONGEST] else (low,):
-            for j in range(i + 2, min(n, i + LONGEST) + 1):
-                if (rank := RANK.get(text[i:j])) is not None:
-                    mixed = value[i:j] != low[i:j] and not value[i:j].isupper() and not value[i:j].istitle()
-                    reach(j, log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0) + (1.0 if mixed else 0) + (0.5 if text is plain and plain[i:j] != low[i:j] else 0))
-        if m := DATE.match(value, i):
-            reach(m.end(), log10(119 * 365) if m.end() - i > 4 else log10(119))
-        if walk[i] - i >= 3:
-            reach(walk[i], log10(len(NEXT)) + log10(walk[i] - i))
-        if same[i] - i >= 3:
-            reach(same[i], step[i] + log10(same[i] - i))
-        for unit in (2, 3, 4):  # a repeated unit costs the unit once
-            j = i + unit
-            while value[j : j + unit] == value[i : i + unit] and j + unit <= n:
-                j += unit
-            if j - i >= 2 * unit and (i < unit or value[i - unit : i] != value[i : i + unit]):
-                reach(j, sum(step[i : i + unit]) + log10((j - i) // unit))
-    return best[n]
+
+    def __init__(self, unit: int, least: int):
+        self.unit, self.least, self.start = unit, least, 0
+        self.queues: dict[tuple[int, int], deque] = {}
+
+    def ends(self, j: int, start: int, costs: list[float]) -> float:
+        """``start``: where the run that ends at j begins; ``costs``: of a run's begin at each place before."""
+        unit, least = self.unit, self.least
+        if start != self.start:
+            self.start = start
+            self.queues.clear()
+        new = j - unit * least
+        if new < start:
+            return inf
+        best, power = inf, 1
+        while (1 << power - 1) * unit < j - start or power == 1:
+            q, add = self.queues.get((power, j % unit)), [new]
+            if q is None:  # no start has been too far for the next lower power yet
+                q, add = self.queues.setdefault((power, j % unit), deque()), range(start + (j - start) % unit, new + 1, unit)
+            if (1 << power) >= least:
+                for x in add:
+                    while q and costs[q[-1]] >= costs[x]:
+                        q.pop()
+                    q.append(x)
+                while q[0] < j - (unit << power):
+                    q.popleft()
+                best = min(best, costs[q[0]] + DOUBLING * power)
+            power += 1
+        return best
+
+
+class Guesser:
+    """The guess cost (log10 of guesses) of values, by the words in ``ranks``."""
+
+    def __init__(self, ranks: dict[str, int] | None = None):
+        self.ranks = ranks if ranks is not None else word_ranks()
+        self.longest = max(map(len, self.ranks), default=0)
+
+    def cost(self, value: str) -> float:
+        """That of the cheapest segmentation of ``value``; 0 for an empty one.
+
+        Exact over all segmentations, with time n log n in the value's length: words and dates have a greatest length,
+        walks and repeats end anywhere.
+        """
+        n = len(value)
+        low = value.lower()
+        plain = low.translate(PLAIN)
+        if len(low) != n or len(plain) != n:  # a letter whose lower case is longer
+            low = plain = value
+        ranks, longest = self.ranks, self.longest
+        best = [0.0] + [inf] * n
+        brute = inf  # the last segment is a brute-force span, which may still grow
+        step = [_alphabet(c) for c in value]
+        sums = [0.0]
+        for x in step:
+            sums.append(sums[-1] + x)
+        walks, repeats = _Runs(1, 3), [_Runs(unit, 3 if unit == 1 else 2) for unit in (1, 2, 3, 4)]
+        begin: list[float] = []  # cost of all that is before a segment, which itself costs a factor unless it is the first
+        units: list[list[float]] = [[] for _ in repeats]
+        walk, same = 0, [0] * len(repeats)
+        for j in range(n + 1):
+            if j:
+                brute = min(brute, begin[j - 1]) + step[j - 1]
+                best[j] = min(best[j], brute)
+                if j > 1 and (low[j - 2], low[j - 1]) not in NEXT:
+                    walk = j - 1
+                best[j] = min(best[j], walks.ends(j, walk, begin) + WALKS)
+                for k, runs in enumerate(repeats):
+                    if j > runs.unit and value[j - 1] != value[j - 1 - runs.unit]:
+                        same[k] = j - runs.unit
+                    best[j] = min(best[j], runs.ends(j, same[k], units[k]))
+            if j == n:
+                break
+            at = best[j] + (FURTHER if j else 0.0)
+            begin.append(at)
+            for k, runs in enumerate(repeats):
+                units[k].append(at + sums[min(n, j + runs.unit)] - sums[j])
+            for text in (low, plain) if plain[j : j + longest] != low[j : j + longest] else (low,):
+                for e in range(j + 2, min(n, j + longest) + 1):
+                    if (rank := ranks.get(text[j:e])) is not None:
+                        best[e] = min(best[e], at + _word_cost(value[j:e], low[j:e], text[j:e], rank))
+            if "0" <= value[j] <= "9":
+                for size in DATES:
+                    if j + size <= n and DATE.fullmatch(value, j, j + size):
+                        best[j + size] = min(best[j + size], at + date_cost(size))
+        return best[n]
+
+
+def date_cost(size: int) -> float:
+    """Of a date, or of a year or month of few characters."""
+    return log10(119 * 365) if size > 4 else log10(119)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -108,10 +184,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
-def guess_spans(text: str, least: float = LEAST) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, least: float = LEAST, guesser: Guesser | None = None) -> list[tuple[int, int, str]]:
     """Values of 6 or more characters in credential contexts whose guess cost is at least ``least``; nothing else decides."""
     if not (":" in text or "=" in text) or not CALLS(text):
         return []
+    guesser = guesser or Guesser()
     out = []
     for m in CONTEXT.finditer(text):
         k = m.lastindex
@@ -120,39 +197,36 @@ def guess_spans(text: str, least: float = LEAST) -> list[tuple[int, int, str]]:
         if k == 4:
             value = value.rstrip(".!?:")
             end = start + len(value)
-        if len(value) >= 6 and guess_cost(value) >= least:
+        if len(value) >= 6 and guesser.cost(value) >= least:
             out.append((start, end, "guess"))
     return out
 
 
-def all_spans(text: str, least: float = LEAST) -> list[tuple[int, int, str]]:
-    """The base spans and, of the costly values, those that no base span holds; by start, then kind."""
-    base = base_spans(text)
-    added = [g for g in guess_spans(text, least) if not any(a <= g[0] and g[1] <= b for a, b, _ in base)]
-    return sorted([*base, *added], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
-
+def all_spans(text: str, least: float = LEAST, guesser: Guesser | None = None) -> list[tuple[int, int, str]]:
+    """The base spans, and the costly values of all credential contexts, those of base spans too; by start, then kind."""
+    return sorted([*base_spans(text), *guess_spans(text, least, guesser)], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
-def _joined(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
-
-def find_secrets(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", least: float = LEAST) -> DataFrame:
+def find_secrets(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", least: float = LEAST, words: list[str] | None = None) -> DataFrame:
     """``keys`` and secrets (array of kind, start, end, value), base (how many of them come from the fixed patterns).
 
     Code points, end exclusive. A null text counts as empty; rows without secrets have an empty array; repeated rows
-    stay repeated. Only keys and text are read.
+    stay repeated; an empty table gives an empty result. Only keys and text are read. ``words``: more words that guessers
+    know, the commonest first; a list of bounded size, as it is sent to all tasks.
     """
+    sent = Shipped(docs.sparkSession, word_ranks(words))
 
     def run(parts: Iterator[list]) -> Iterator[dict]:
+        guesser = Guesser(sent.load())
         for texts in parts:
-            yield {"secrets": [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, b, k in all_spans(t, least)] for t in texts]}
+            yield {"secrets": [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, b, k in all_spans(t, least, guesser)] for t in texts]}
 
     return map_rows(docs, list(keys), text_col, run, "secrets array<struct<kind:string,start:int,end:int,value:string>>")
 
 
-def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: list[str] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row of ``docs``, from find_secrets()."""
-    found = find_secrets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    found = find_secrets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words=words)
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -166,10 +240,10 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def redact(text: str, least: float = LEAST) -> str:
+def redact(text: str, least: float = LEAST, guesser: Guesser | None = None) -> str:
     """The text with each secret's value replaced by [REDACTED]; what announces a value stays."""
     spans = []
-    for a, b, kind in all_spans(text, least):
+    for a, b, kind in all_spans(text, least, guesser):
         if kind == "assign":
             a += ASSIGN.match(text, a, b).start(2) - a
         spans.append((a, b))
@@ -184,17 +258,20 @@ def redact(text: str, least: float = LEAST) -> str:
     return "".join(out)
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` with secrets redacted in ``text_col``; null texts stay null, other columns as they are."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", least: float = LEAST, words: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` with secrets redacted in ``text_col``; null texts stay null, other columns as they are, whatever
+    their names; repeated rows stay repeated, an empty table stays empty."""
     columns = docs.columns
     i = columns.index(text_col)
     named = docs.toDF(*[f"c{k}" for k in range(len(columns))])
+    sent = Shipped(docs.sparkSession, word_ranks(words))
 
     def run(parts: Iterator[list]) -> Iterator[dict]:
+        guesser = Guesser(sent.load())
         for texts in parts:
-            yield {"clean": [redact(t, least) for t in texts]}
-
-    out = map_rows(named, named.columns, f"c{i}", run, "clean string")
-    return out.select(*[(F.when(F.col(f"c{k}").isNotNull(), F.col("clean")) if k == i else F.col(f"c{k}")).alias(c) for k, c in enumerate(columns)])
-
+            yield {f"c{i}": [None if t is None else redact(t, least, guesser) for t in texts]}
 
+    # the text goes to Python once and comes back redacted
+    others = [f"c{k}" for k in range(len(columns)) if k != i]
+    out = map_rows(named, others, f"c{i}", run, f"c{i} string", nulls=True)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
