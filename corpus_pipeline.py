@@ -12,7 +12,7 @@ from pathloom.llm.decontaminate import keep_clean
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.quality import keep_good
 from pathloom.llm.queries import table, tokenizer
-from pathloom.llm.secrets import redact_secrets
+from pathloom.llm.secrets import redact_secrets, vocabulary_words
 from pathloom.llm.simhash_dedup import keep_one
 
 
@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets' values are redacted; n_chars follows the text."""
     columns = docs.columns
-    out = redact_secrets(docs)
+    out = redact_secrets(docs, words=vocabulary_words(tokenizer("word_bpe_49k.json")))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(columns)
 
 
