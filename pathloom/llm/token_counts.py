@@ -1,97 +1,101 @@
-"""Token counts without ids: pieces are counted once per distinct pre-token and joined to each document's pre-token
+"""Token counts without ids: pieces are counted once per distinct pre-token and joined to the documents' pre-token
 frequencies.
 
-A document's pre-tokens are grouped into *stretches* (a run of white space and the word behind it; a pre-token of
-byte-level BPE never crosses from a word into the white space behind it). Each distinct stretch is split into its
-pre-tokens once, each distinct pre-token is encoded once, and a document's count is the sum over its stretches'
-frequencies. The table of known stretches is bounded; an evicted stretch is merely counted again. Texts that hold the
-string of an added token go to the library whole.
+A text is cut into stretches (a run of white space and the word behind it; a pre-token of byte-level BPE never crosses
+from a word into the white space behind it). The distinct stretches of a block of documents are split by the library's
+own pre-tokenizer, which gives the documents' pre-token frequencies as an inverted index. All documents' distinct
+pre-tokens make a table, whose pieces are counted, each once; the counts are joined to the index and summed by document.
+Texts that hold the string of an added token are counted by the library whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections import Counter
 from collections.abc import Iterator
-from operator import mul
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import map_rows, memo, text_of
+from pathloom.llm._common import durable, memo, text_of
+from pathloom.llm.postings import Numbers, distinct_tokens, postings, sums
 
 #: Unicode's White_Space, as the pre-tokenizer understands it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 STRETCH = f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
-#: Distinct stretches that a worker remembers.
-KNOWN = 600_000
-
-
-def ranked(path: str):
-    """The same vocabulary as a rank table, which counts single pre-tokens several times faster; None unless the file
-    is plain byte-level BPE whose ids follow the order of its merges, so that both give the same pieces."""
-    import json
-
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        j = json.load(f)
-    m, pre = j["model"], j.get("pre_tokenizer") or {}
-    plain = m.get("type") == "BPE" and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    if not plain or j.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex"):
-        return None
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = dict(zip(map(chr, shown), shown)) | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    merges = [x.split(" ") if isinstance(x, str) else x for x in m["merges"]]
-    if any(m["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or len(m["vocab"]) != 256 + len(merges):
-        return None
-    ranks = {bytes(byte[c] for c in piece): i for piece, i in m["vocab"].items()}
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+#: A stretch that is one pre-token, whatever the version of Unicode: a blank, if any, and letters.
+PLAIN = re.compile(" ?[A-Za-z]+").fullmatch
 
 
 class PieceCounter:
     """Counts of a byte-level BPE tokenizer whose pre-tokens end where white space begins."""
 
-    def __init__(self, path: str, known: int = KNOWN):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.ranked = ranked(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.normalizer, self.pre, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        if self.normalizer is not None:
+            raise ValueError(f"{path} normalizes texts")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.stretches = re.compile(STRETCH).findall
-        self.counts: dict[str, int] = {}
-        self.known = known
-
-    def learn(self, new: list[str]) -> None:
-        """Counts the pieces of stretches met for the first time."""
-        if len(self.counts) + len(new) > self.known:
-            self.counts.clear()
-        if self.ranked:
-            self.counts.update((s, len(self.ranked.encode_ordinary(s))) for s in new)
-            return
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.counts[s] = len(e)
 
-    def whole(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def pre_tokens(self, stretch: str) -> list[str]:
+        """As the library writes them: a sign for each byte."""
+        if PLAIN(stretch):
+            return [stretch.replace(" ", "Ġ")]
+        return [p for p, _ in self.pre.pre_tokenize_str(stretch)]
 
-    def count(self, text: str) -> int:
-        if self.added and self.added.search(text):
-            return self.whole(text)
-        frequency = Counter(self.stretches(text))
-        for _ in range(2):  # twice, as learning may drop older stretches
-            if new := set(frequency).difference(self.counts):
-                self.learn(list(new))
-        try:
-            return sum(map(mul, map(self.counts.__getitem__, frequency), frequency.values()))
-        except KeyError:  # more distinct stretches than are kept
-            return self.whole(text)
+    def pieces(self, pre_token: str) -> int:
+        return len(self.model.tokenize(pre_token))
+
+    def whole(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False))
+
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
+        """For postings(): texts with added tokens have no pre-tokens, and their count besides."""
+        stretches = Numbers()
+        runs, besides = [], []
+        for t in texts:
+            odd = self.added is not None and self.added.search(t)
+            besides.append(self.whole(t) if odd else 0)
+            found = [] if odd else self.stretches(t)
+            runs.append(np.fromiter(map(stretches.__getitem__, found), dtype=np.int64, count=len(found)))
+        numbers = Numbers()
+        lists = [[numbers[p] for p in self.pre_tokens(s)] for s in stretches]
+        # each stretch's numbers, in the place of the stretch
+        each = np.array([len(x) for x in lists], dtype=np.int64)
+        flat, begins = np.array([n for x in lists for n in x], dtype=np.int64), np.cumsum(each) - each
+        whole = np.concatenate([np.empty(0, np.int64), *runs])
+        times = each[whole]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        text_of_stretch = np.repeat(np.arange(len(texts)), [len(r) for r in runs])
+        lengths = np.bincount(text_of_stretch, weights=times, minlength=len(texts)).astype(np.int64)
+        return list(numbers), flat[np.repeat(begins[whole], times) + inside], lengths, besides
+
+
+def _counter(path: str) -> PieceCounter:
+    place = memo("pieces")
+    if getattr(place, "path", None) != path:
+        place.counter, place.path = PieceCounter(path), path
+    return place.counter
+
+
+def piece_counts(tokens: DataFrame, tokenizer: str) -> DataFrame:
+    """``tokens`` (token, n: distinct pre-tokens) with value, the number of their pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _counter(tokenizer).pieces
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pieces(p) for p in b.column(0).to_pylist()], pa.int64())], names=["token", "n", "value"])
+
+    return tokens.select("token", "n").mapInArrow(run, "token string, n long, value long")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,19 +104,10 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     ``tokenizer``: path of a byte-level BPE .json. No begin, end or added special tokens, no truncation or padding;
     special strings in a text are handled as the library's default has it. A null text counts as empty (0 bytes, 0
     tokens). Repeated rows and ids stay repeated; a null id stays null; other columns, whatever their names, are not
-    read. An empty table gives an empty result.
+    read. An empty table gives an empty result. Texts are read once and never shuffled.
     """
-
-    def run(parts: Iterator[list]) -> Iterator[dict]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        place = memo("pieces")
-        if getattr(place, "path", None) != tokenizer:
-            place.counter, place.path = PieceCounter(tokenizer), tokenizer
-        counter = place.counter
-        for texts in parts:
-            yield {"n_tokens": [counter.count(t) for t in texts]}
-
     source = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(docs, text_col)).cast("long").alias("n_bytes"), text_of(docs, text_col).alias("text"))
-    return map_rows(source, ["doc_id", "n_bytes"], "text", run, "n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    index = postings(source, ["doc_id", "n_bytes"], lambda: _counter(tokenizer).split)
+    values = durable(piece_counts(distinct_tokens(index), tokenizer))
+    count = F.col("_sum") + F.col("_besides")
+    return sums(index, values).select("doc_id", "n_bytes", count.alias("n_tokens"), (count > limit).alias("over_limit"))

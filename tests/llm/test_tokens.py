@@ -28,12 +28,37 @@ def test_counts_are_the_librarys(spark):
     assert all(r.over_limit == (r.n_tokens > 512) for r in got)
 
 
-def test_counts_with_little_room():
+def test_pre_tokens_are_the_librarys():
+    """Between letters and a digit, every code point; and texts of many kinds."""
+    counter = C.PieceCounter(tokenizer("byte_bpe_50k.json"))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 4096):
+        texts = [f"a{c}1 {c}b" for c in points[i : i + 4096]]
+        tokens, flat, lengths, besides = counter.split(texts)
+        pieces = np.array([counter.pieces(p) for p in tokens])
+        got = np.bincount(np.repeat(np.arange(len(texts)), lengths), weights=pieces[flat], minlength=len(texts))
+        assert got.tolist() == [len(e) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)] and not any(besides)
+
+
+@pytest.mark.parametrize("bits", [11, 2])
+def test_blocks_of_any_size(spark, monkeypatch, bits):
+    """Small blocks, frequencies that take several entries, and tokens in all blocks (joined by broadcast)."""
+    from pathloom.llm import postings as I
+
+    flat = np.array([0, 1, 0] + [2] * 50)
+    with monkeypatch.context() as m:
+        m.setattr(I, "MOST", 7)
+        entries, starts = I.packed(flat, np.array([3, 50]))
+    assert starts.tolist() == [0, 1, 2] and (entries[2:] >> I.BITS).sum() == 50 and (entries >> I.BITS).max() == 7
+    monkeypatch.setattr(I, "CHARS", 200)
+    monkeypatch.setattr(I, "BITS", bits)
+    monkeypatch.setattr("pathloom.llm.components.HOT", 30)
     path = tokenizer("byte_bpe_50k.json")
-    small, slow = C.PieceCounter(path, known=3), C.PieceCounter(path)
-    slow.ranked = None
-    for t in TEXTS:
-        assert small.count(t or "") == slow.count(t or "") == slow.whole(t or "")
+    texts = [f"the cat {i} the" * (i % 5) for i in range(60)] + TEXTS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    library = C.PieceCounter(path).tokenizer
+    assert {r.doc_id: r.n_tokens for r in C.token_counts(df, path).collect()} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert C.token_counts(df.limit(0), path).collect() == []
 
 
 def test_word_ids_are_the_librarys(spark):
