@@ -2,7 +2,7 @@
 
 A block is some consecutive documents of a task; for each distinct token of a block the index has one row that packs
 (document within the block, frequency). So a token's value is joined once a block, not once an occurrence, and no
-document's tokens are ever listed. Sums go back to documents block by block.
+document's tokens are ever listed. The index is shuffled once; sums go back to documents block by block.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from pathloom.llm._common import durable, text_of
-from pathloom.llm.components import join_hot
 
-#: Documents and characters of a block (a longer text is a block of its own): both bound memory.
-BITS, CHARS = 11, 4_000_000
-MOST = (1 << 32 - BITS) - 1
+#: Documents (a power of two) and characters of a block, where a text may go beyond the latter: both bound memory. An
+#: entry has 16 bits, of which the upper ones are a frequency less 1; higher frequencies take several entries.
+BITS, CHARS = 14, 32_000_000
+#: Bytes of entries from which a token's rows are salted, and the number of salts.
+LONG, SALTS = 512, 256
 
 #: Distinct tokens of some texts; the tokens' numbers, text by text; how many each text has; what each has besides.
 Split = Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray, list[int]]]
@@ -36,17 +37,16 @@ class Numbers(dict):
 
 
 def packed(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries (frequency, document) by token, and where each token's begin; frequencies beyond MOST take several."""
+    """Entries (frequency, document) by token, and where each token's begin."""
+    most = 1 << 16 - BITS
     key, n = np.unique((flat.astype(np.int64) << BITS) | np.repeat(np.arange(len(lengths)), lengths), return_counts=True)
-    if len(n) and n.max() > MOST:
-        times = -(-n // MOST)
-        key, n = np.repeat(key, times), np.repeat(n, times)
-        last = np.cumsum(times) - 1
-        rest = n[last] - (times - 1) * MOST
-        n = np.full(len(n), MOST)
-        n[last] = rest
+    times = -(-n // most)
+    last = np.cumsum(times) - 1
+    rest = n - (times - 1) * most
+    key, n = np.repeat(key, times), np.full(times.sum(), most)
+    n[last] = rest
     starts = np.flatnonzero(np.diff(key >> BITS, prepend=-1))
-    return ((n << BITS) | (key & (1 << BITS) - 1)).astype("<u4"), starts
+    return ((n - 1 << BITS) | (key & (1 << BITS) - 1)).astype("<u2"), starts
 
 
 def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_col: str = "text") -> DataFrame:
@@ -70,7 +70,7 @@ def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_
             nonlocal number, size
             tokens, flat, lengths, besides = own(texts)
             entries, starts = packed(flat, lengths)
-            offsets = np.append(starts, len(entries)).astype(np.int32) * 4
+            offsets = np.append(starts, len(entries)).astype(np.int32) * 2
             posts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
             n = len(starts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), pa.array(tokens, pa.string()), posts, pa.nulls(n, types[3])], names=schema.names)
@@ -100,30 +100,39 @@ def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_
     return durable(docs.select(*keys, text_of(docs, text_col).alias("_text")).mapInArrow(run, schema), "zstd")
 
 
-def distinct_tokens(index: DataFrame) -> DataFrame:
-    """token, n (in how many blocks it occurs)."""
-    return index.where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-
-
-def heads(index: DataFrame) -> DataFrame:
-    """block, at (place within it) and the key columns of each document."""
-    return index.where("token is null").select("block", F.posexplode("rows").alias("at", "_row")).select("block", "at", "_row.*")
-
-
-def sums(index: DataFrame, values: DataFrame) -> DataFrame:
+def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
     """The key columns, _tokens, _besides and _sum for each document: the sum of frequency times value over its tokens.
 
-    ``values``: token, n (as distinct_tokens() gives it), value (long); tokens without a row count 0. Sums are exact up to
-    2^53. Tokens that occur in a large part of all blocks are joined by broadcast; there are few of them.
+    ``values`` gives a function from distinct tokens to their values. All rows of a token meet in one task, in order, so
+    that it is valued once and joined to all of them; only tokens of many documents are salted by block, and valued once
+    a salt. Sums are exact up to 2^53.
     """
-    tokens = index.where("token is not null").select("token", "block", "posts")
-    joined = join_hot(tokens, values.select("token", "value", "n"), "token", tokens.count()).select("block", "posts", "value")
+    salt = F.when(F.octet_length("posts") > LONG, F.col("block") % SALTS).otherwise(0)
+    tokens = index.where("token is not null").select("token", "block", "posts").repartition("token", salt).sortWithinPartitions("token")
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, last, known = values(), None, 0
+        for b in batches:
+            coded = b.column(0).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if not distinct:
+                continue
+            # the first token of a batch may be the last of the one before
+            found = np.array([known, *value(distinct[1:])] if distinct[0] == last else value(distinct), dtype=np.int64)
+            last, known = distinct[-1], int(found[-1])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(found[coded.indices.to_numpy()])], names=["block", "posts", "value"])
+
+    joined = tokens.mapInArrow(valued, "block long, posts binary, value long")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, np.zeros(1 << BITS)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["block", "part"])
+            at = np.flatnonzero(total)
+            part = total[at].astype("<i8")
+            if not len(part) or np.abs(part).max() < 1 << 31:
+                part = part.astype("<i4")
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at.astype("<u2").tobytes()]), pa.array([part.tobytes()])], names=["block", "at", "part"])
 
         for b in batches:
             blocks = b.column(0).to_numpy()
@@ -131,8 +140,8 @@ def sums(index: DataFrame, values: DataFrame) -> DataFrame:
             posts = b.column(1)
             if isinstance(posts, pa.LargeBinaryArray):
                 posts = posts.cast(pa.binary())
-            offsets = np.frombuffer(posts.buffers()[1], np.int32)[posts.offset : posts.offset + len(posts) + 1] // 4
-            entries = np.frombuffer(posts.buffers()[2] or b"", "<u4")
+            offsets = np.frombuffer(posts.buffers()[1], np.int32)[posts.offset : posts.offset + len(posts) + 1] // 2
+            entries = np.frombuffer(posts.buffers()[2] or b"", "<u2")
             cuts = np.flatnonzero(np.diff(blocks)) + 1
             for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
                 if blocks[i] != block:
@@ -140,21 +149,23 @@ def sums(index: DataFrame, values: DataFrame) -> DataFrame:
                         yield out()
                     block, total = int(blocks[i]), np.zeros(1 << BITS)
                 own = entries[offsets[i] : offsets[j]]
-                weights = np.repeat(value[i:j], np.diff(offsets[i : j + 1])) * (own >> BITS)
+                weights = np.repeat(value[i:j], np.diff(offsets[i : j + 1])) * ((own >> BITS) + 1)
                 total += np.bincount(own & (1 << BITS) - 1, weights=weights, minlength=1 << BITS)
         if block is not None:
             yield out()
 
-    parts = joined.sortWithinPartitions("block").mapInArrow(partial, "block long, part binary")
-    rows = index.where("token is null").select("block", F.lit(None).cast("binary").alias("part"), "rows")
+    parts = joined.sortWithinPartitions("block").mapInArrow(partial, "block long, at binary, part binary")
+    rows = index.where("token is null").select("block", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("part"), "rows")
     both = parts.withColumn("rows", F.lit(None).cast(index.schema["rows"].dataType)).unionAll(rows)
     schema = StructType([*index.schema["rows"].dataType.elementType.fields, StructField("_sum", LongType())])
     names = schema.names
 
     def whole(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << BITS, np.int64)
-        for p in table.column("part").drop_null().to_pylist():
-            total += np.frombuffer(p, "<i8")
+        for at, part in zip(table.column("at").to_pylist(), table.column("part").to_pylist()):
+            if at:
+                at = np.frombuffer(at, "<u2")
+                total[at] += np.frombuffer(part, "<i8" if len(part) == 8 * len(at) else "<i4")
         docs = table.column("rows").combine_chunks().flatten()
         return pa.Table.from_arrays([*docs.flatten(), pa.array(total[: len(docs)])], names=names)
 

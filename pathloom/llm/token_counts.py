@@ -3,8 +3,8 @@ frequencies.
 
 A text is cut into stretches (a run of white space and the word behind it; a pre-token of byte-level BPE never crosses
 from a word into the white space behind it). The distinct stretches of a block of documents are split by the library's
-own pre-tokenizer, which gives the documents' pre-token frequencies as an inverted index. All documents' distinct
-pre-tokens make a table, whose pieces are counted, each once; the counts are joined to the index and summed by document.
+own pre-tokenizer, which gives the documents' pre-token frequencies as an inverted index. The index is then sorted by pre-token, over all documents; each distinct one's pieces
+are counted once, the count joined to its frequencies, and the products summed by document.
 Texts that hold the string of an added token are counted by the library whole.
 """
 
@@ -12,15 +12,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import durable, memo, text_of
-from pathloom.llm.postings import Numbers, distinct_tokens, postings, sums
+from pathloom.llm._common import memo, text_of
+from pathloom.llm.postings import Numbers, postings, sums
 
 #: Unicode's White_Space, as the pre-tokenizer understands it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -87,17 +85,6 @@ def _counter(path: str) -> PieceCounter:
     return place.counter
 
 
-def piece_counts(tokens: DataFrame, tokenizer: str) -> DataFrame:
-    """``tokens`` (token, n: distinct pre-tokens) with value, the number of their pieces."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _counter(tokenizer).pieces
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([pieces(p) for p in b.column(0).to_pylist()], pa.int64())], names=["token", "n", "value"])
-
-    return tokens.select("token", "n").mapInArrow(run, "token string, n long, value long")
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``.
 
@@ -108,6 +95,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(docs, text_col)).cast("long").alias("n_bytes"), text_of(docs, text_col).alias("text"))
     index = postings(source, ["doc_id", "n_bytes"], lambda: _counter(tokenizer).split)
-    values = durable(piece_counts(distinct_tokens(index), tokenizer))
     count = F.col("_sum") + F.col("_besides")
-    return sums(index, values).select("doc_id", "n_bytes", count.alias("n_tokens"), (count > limit).alias("over_limit"))
+    return sums(index, lambda: lambda tokens: list(map(_counter(tokenizer).pieces, tokens))).select("doc_id", "n_bytes", count.alias("n_tokens"), (count > limit).alias("over_limit"))

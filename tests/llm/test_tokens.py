@@ -40,19 +40,16 @@ def test_pre_tokens_are_the_librarys():
         assert got.tolist() == [len(e) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)] and not any(besides)
 
 
-@pytest.mark.parametrize("bits", [11, 2])
+@pytest.mark.parametrize("bits", [14, 2])
 def test_blocks_of_any_size(spark, monkeypatch, bits):
-    """Small blocks, frequencies that take several entries, and tokens in all blocks (joined by broadcast)."""
+    """Small blocks, frequencies that take several entries, and tokens of many documents (salted)."""
     from pathloom.llm import postings as I
 
-    flat = np.array([0, 1, 0] + [2] * 50)
-    with monkeypatch.context() as m:
-        m.setattr(I, "MOST", 7)
-        entries, starts = I.packed(flat, np.array([3, 50]))
-    assert starts.tolist() == [0, 1, 2] and (entries[2:] >> I.BITS).sum() == 50 and (entries >> I.BITS).max() == 7
+    entries, starts = I.packed(np.array([0, 1, 0] + [2] * 50), np.array([3, 50]))
+    assert starts.tolist() == [0, 1, 2] and ((entries[2:] >> I.BITS) + 1).sum() == 50 and (entries & 1).tolist() == [0, 0] + [1] * 13
     monkeypatch.setattr(I, "CHARS", 200)
     monkeypatch.setattr(I, "BITS", bits)
-    monkeypatch.setattr("pathloom.llm.components.HOT", 30)
+    monkeypatch.setattr(I, "LONG", 4)
     path = tokenizer("byte_bpe_50k.json")
     texts = [f"the cat {i} the" * (i % 5) for i in range(60)] + TEXTS
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
