@@ -20,12 +20,13 @@ from pathloom.llm._common import durable, text_of
 
 #: Documents (a power of two) and characters of a block, where a text may go beyond the latter: both bound memory. An
 #: entry has 16 bits, of which the upper ones are a frequency less 1; higher frequencies take several entries.
-BITS, CHARS = 14, 32_000_000
+BITS, CHARS = 14, 16_000_000
 #: Bytes of entries from which a token's rows are salted, and the number of salts.
 LONG, SALTS = 512, 256
 
-#: Distinct tokens of some texts; the tokens' numbers, text by text; how many each text has; what each has besides.
-Split = Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray, list[int]]]
+#: Distinct tokens of some texts; of pairs of token and text (which may repeat) the token's number, the text's and the
+#: frequency; and what each text has besides.
+Split = Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[int]]]
 
 
 class Numbers(dict):
@@ -36,24 +37,28 @@ class Numbers(dict):
         return n
 
 
-def packed(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def packed(token: np.ndarray, text: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries (frequency, document) by token, and where each token's begin."""
+    key = (token.astype(np.int64) << BITS) | text
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    if len(first) < len(key):
+        key, n = key[first], np.add.reduceat(n, first)
     most = 1 << 16 - BITS
-    key, n = np.unique((flat.astype(np.int64) << BITS) | np.repeat(np.arange(len(lengths)), lengths), return_counts=True)
     times = -(-n // most)
-    last = np.cumsum(times) - 1
-    rest = n - (times - 1) * most
-    key, n = np.repeat(key, times), np.full(times.sum(), most)
-    n[last] = rest
+    key, rest = np.repeat(key, times), n - (times - 1) * most
+    n = np.full(len(key), most, np.uint16)
+    n[np.cumsum(times) - 1] = rest
     starts = np.flatnonzero(np.diff(key >> BITS, prepend=-1))
-    return ((n - 1 << BITS) | (key & (1 << BITS) - 1)).astype("<u2"), starts
+    return (n - 1 << BITS | key & (1 << BITS) - 1).astype("<u2"), starts
 
 
 def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_col: str = "text") -> DataFrame:
-    """block, token, posts; and a row for each block with a null token and rows: an array of ``keys`` and _tokens (the
-    number of tokens) and _besides of its documents. Written to the shared folder. A null text counts as empty."""
+    """block, token, posts; and a row for each block with a null token and rows: an array of ``keys`` and _besides of its
+    documents. Written to the shared folder. A null text counts as empty."""
     head = docs.select(*keys).schema
-    rows = StructType([*head.fields, StructField("_tokens", LongType()), StructField("_besides", LongType())])
+    rows = StructType([*head.fields, StructField("_besides", LongType())])
     schema = StructType([StructField("block", LongType()), StructField("token", StringType()), StructField("posts", BinaryType()), StructField("rows", ArrayType(rows))])
     types = list(to_arrow_schema(schema).types)
     n_keys = len(keys)
@@ -68,13 +73,13 @@ def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
-            tokens, flat, lengths, besides = own(texts)
-            entries, starts = packed(flat, lengths)
+            tokens, *pairs, besides = own(texts)
+            entries, starts = packed(*pairs)
             offsets = np.append(starts, len(entries)).astype(np.int32) * 2
             posts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
             n = len(starts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), pa.array(tokens, pa.string()), posts, pa.nulls(n, types[3])], names=schema.names)
-            struct = [*(pa.concat_arrays([h.column(i) for h in held]) for i in range(n_keys)), pa.array(lengths, pa.int64()), pa.array(besides, pa.int64())]
+            struct = [*(pa.concat_arrays([h.column(i) for h in held]) for i in range(n_keys)), pa.array(besides, pa.int64())]
             # positions, as names may repeat
             whole = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(struct, types[3].value_type)], fields=list(types[3].value_type))
             listed = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole).cast(types[3])
@@ -101,7 +106,7 @@ def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_
 
 
 def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
-    """The key columns, _tokens, _besides and _sum for each document: the sum of frequency times value over its tokens.
+    """The key columns, _besides and _sum for each document: the sum of frequency times value over its tokens.
 
     ``values`` gives a function from distinct tokens to their values. All rows of a token meet in one task, in order, so
     that it is valued once and joined to all of them; only tokens of many documents are salted by block, and valued once

@@ -56,26 +56,26 @@ class PieceCounter:
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False))
 
-    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """For postings(): texts with added tokens have no pre-tokens, and their count besides."""
         stretches = Numbers()
-        runs, besides = [], []
+        runs, often, besides = [], [], []
         for t in texts:
             odd = self.added is not None and self.added.search(t)
             besides.append(self.whole(t) if odd else 0)
             found = [] if odd else self.stretches(t)
-            runs.append(np.fromiter(map(stretches.__getitem__, found), dtype=np.int64, count=len(found)))
+            run, n = np.unique(np.fromiter(map(stretches.__getitem__, found), dtype=np.int32, count=len(found)), return_counts=True)
+            runs.append(run), often.append(n.astype(np.int32))
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(r) for r in runs])
+        run, n = np.concatenate(runs), np.concatenate(often)
+        # a stretch stands for the numbers of its pre-tokens
         numbers = Numbers()
         lists = [[numbers[p] for p in self.pre_tokens(s)] for s in stretches]
-        # each stretch's numbers, in the place of the stretch
         each = np.array([len(x) for x in lists], dtype=np.int64)
-        flat, begins = np.array([n for x in lists for n in x], dtype=np.int64), np.cumsum(each) - each
-        whole = np.concatenate([np.empty(0, np.int64), *runs])
-        times = each[whole]
-        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        text_of_stretch = np.repeat(np.arange(len(texts)), [len(r) for r in runs])
-        lengths = np.bincount(text_of_stretch, weights=times, minlength=len(texts)).astype(np.int64)
-        return list(numbers), flat[np.repeat(begins[whole], times) + inside], lengths, besides
+        flat, begins = np.fromiter((n for x in lists for n in x), dtype=np.int32, count=each.sum()), np.cumsum(each) - each
+        times = each[run]
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - begins[run], times)
+        return list(numbers), flat[at], np.repeat(text, times), np.repeat(n, times), besides
 
 
 def _counter(path: str) -> PieceCounter:

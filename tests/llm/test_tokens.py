@@ -34,9 +34,9 @@ def test_pre_tokens_are_the_librarys():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for i in range(0, len(points), 4096):
         texts = [f"a{c}1 {c}b" for c in points[i : i + 4096]]
-        tokens, flat, lengths, besides = counter.split(texts)
+        tokens, token, text, n, besides = counter.split(texts)
         pieces = np.array([counter.pieces(p) for p in tokens])
-        got = np.bincount(np.repeat(np.arange(len(texts)), lengths), weights=pieces[flat], minlength=len(texts))
+        got = np.bincount(text, weights=pieces[token] * n, minlength=len(texts))
         assert got.tolist() == [len(e) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)] and not any(besides)
 
 
@@ -45,7 +45,7 @@ def test_blocks_of_any_size(spark, monkeypatch, bits):
     """Small blocks, frequencies that take several entries, and tokens of many documents (salted)."""
     from pathloom.llm import postings as I
 
-    entries, starts = I.packed(np.array([0, 1, 0] + [2] * 50), np.array([3, 50]))
+    entries, starts = I.packed(np.array([2, 1, 2, 0, 0]), np.array([1, 0, 1, 0, 0]), np.array([20, 1, 30, 1, 1]))
     assert starts.tolist() == [0, 1, 2] and ((entries[2:] >> I.BITS) + 1).sum() == 50 and (entries & 1).tolist() == [0, 0] + [1] * 13
     monkeypatch.setattr(I, "CHARS", 200)
     monkeypatch.setattr(I, "BITS", bits)
