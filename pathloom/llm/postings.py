@@ -2,7 +2,7 @@
 
 A block is some consecutive documents of a task; for each distinct token of a block the index has one row that packs
 (document within the block, frequency). So a token's value is joined once a block, not once an occurrence, and no
-document's tokens are ever listed. The index is shuffled once; sums go back to documents block by block.
+document's tokens are ever listed. The index is shuffled once and never stored; sums go back to documents block by block.
 """
 
 from __future__ import annotations
@@ -56,7 +56,11 @@ def packed(token: np.ndarray, text: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_col: str = "text") -> DataFrame:
     """block, token, posts; and a row for each block with a null token and rows: an array of ``keys`` and _besides of its
-    documents. Written to the shared folder. A null text counts as empty."""
+    documents. A null text counts as empty. What is a block must not change when a lost task is run again, so documents
+    that come out of a shuffle, in any order, are written to the shared folder first."""
+    docs = docs.select(*keys, text_of(docs, text_col).alias("_text"))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = durable(docs)
     head = docs.select(*keys).schema
     rows = StructType([*head.fields, StructField("_besides", LongType())])
     schema = StructType([StructField("block", LongType()), StructField("token", StringType()), StructField("posts", BinaryType()), StructField("rows", ArrayType(rows))])
@@ -102,7 +106,7 @@ def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_
         if texts:
             yield from flush()
 
-    return durable(docs.select(*keys, text_of(docs, text_col).alias("_text")).mapInArrow(run, schema), "zstd")
+    return docs.mapInArrow(run, schema)
 
 
 def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
@@ -112,22 +116,21 @@ def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]
     that it is valued once and joined to all of them; only tokens of many documents are salted by block, and valued once
     a salt. Sums are exact up to 2^53.
     """
-    salt = F.when(F.octet_length("posts") > LONG, F.col("block") % SALTS).otherwise(0)
-    tokens = index.where("token is not null").select("token", "block", "posts").repartition("token", salt).sortWithinPartitions("token")
+    salt = F.when(F.col("token").isNull(), F.col("block")).when(F.octet_length("posts") > LONG, F.col("block") % SALTS).otherwise(0)
+    rows_type = index.schema["rows"].dataType
+    arrow_rows = to_arrow_schema(StructType([StructField("rows", rows_type)])).field(0).type
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, last, known = values(), None, 0
         for b in batches:
-            coded = b.column(0).dictionary_encode()
+            coded = b.column(1).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
-            if not distinct:
-                continue
             # the first token of a batch may be the last of the one before
-            found = np.array([known, *value(distinct[1:])] if distinct[0] == last else value(distinct), dtype=np.int64)
-            last, known = distinct[-1], int(found[-1])
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(found[coded.indices.to_numpy()])], names=["block", "posts", "value"])
-
-    joined = tokens.mapInArrow(valued, "block long, posts binary, value long")
+            found = np.array([known, *value(distinct[1:])] if distinct and distinct[0] == last else value(distinct), dtype=np.int64)
+            if distinct:
+                last, known = distinct[-1], int(found[-1])
+            at = coded.indices.fill_null(len(found)).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.append(found, 0)[at]), b.column(3)], names=["block", "posts", "value", "rows"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, np.zeros(1 << BITS)
@@ -137,9 +140,16 @@ def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]
             part = total[at].astype("<i8")
             if not len(part) or np.abs(part).max() < 1 << 31:
                 part = part.astype("<i4")
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at.astype("<u2").tobytes()]), pa.array([part.tobytes()])], names=["block", "at", "part"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at.astype("<u2").tobytes()]), pa.array([part.tobytes()]), pa.nulls(1, arrow_rows)], names=["block", "at", "part", "rows"])
 
         for b in batches:
+            whole = b.filter(b.column(3).is_valid())
+            if whole.num_rows:
+                none = pa.nulls(whole.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([whole.column(0), none, none, whole.column(3).cast(arrow_rows)], names=["block", "at", "part", "rows"])
+                b = b.filter(b.column(3).is_null())
+            if not b.num_rows:
+                continue
             blocks = b.column(0).to_numpy()
             value = b.column(2).to_numpy().astype(np.float64)
             posts = b.column(1)
@@ -159,10 +169,11 @@ def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]
         if block is not None:
             yield out()
 
-    parts = joined.sortWithinPartitions("block").mapInArrow(partial, "block long, at binary, part binary")
-    rows = index.where("token is null").select("block", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("part"), "rows")
-    both = parts.withColumn("rows", F.lit(None).cast(index.schema["rows"].dataType)).unionAll(rows)
-    schema = StructType([*index.schema["rows"].dataType.elementType.fields, StructField("_sum", LongType())])
+    schema = StructType([StructField("block", LongType()), StructField("posts", BinaryType()), StructField("value", LongType()), StructField("rows", rows_type)])
+    joined = index.repartition("token", salt).sortWithinPartitions("token").mapInArrow(valued, schema)
+    schema = StructType([StructField("block", LongType()), StructField("at", BinaryType()), StructField("part", BinaryType()), StructField("rows", rows_type)])
+    parts = joined.sortWithinPartitions("block").mapInArrow(partial, schema)
+    schema = StructType([*rows_type.elementType.fields, StructField("_sum", LongType())])
     names = schema.names
 
     def whole(table: pa.Table) -> pa.Table:
@@ -174,4 +185,4 @@ def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]
         docs = table.column("rows").combine_chunks().flatten()
         return pa.Table.from_arrays([*docs.flatten(), pa.array(total[: len(docs)])], names=names)
 
-    return both.groupBy("block").applyInArrow(whole, schema)
+    return parts.groupBy("block").applyInArrow(whole, schema)
