@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,13 +42,72 @@ def test_odd_rows(spark, score):
     assert score(docs.limit(0), both).collect() == []
 
 
-def test_shared_backoff_makes_unknown_expressions_neutral():
-    import numpy as np
+class Brute:
+    """The models by their definition, from lists of words of each class."""
 
-    # two contexts that both classes know alike; nothing is known of a third
-    model = T.Model(np.array([1, 2, 3, 4]), np.array([5, 5, 6, 6]), (np.array([10, 10, 30, 0]), np.array([10, 10, 0, 30])))
-    assert abs(model.known[1]) < 1e-6 and model.known[3] > 1 and model.known[4] < -1
-    assert model.unknown[9] == 0 and abs(model.unknown[5]) < 1e-6
+    def __init__(self, toxic, ordinary):
+        self.n = [{y: Counter() for y in "tob"} for _ in range(T.ORDER + 1)]
+        for y, words in (("t", toxic), ("o", ordinary)):
+            for w in words:
+                s = T.BEGIN * (T.ORDER - 1) + w + T.END
+                for i in range(T.ORDER - 1, len(s)):
+                    self.n[T.ORDER][y][s[i - T.ORDER + 1 : i + 1]] += 1
+        self.n[T.ORDER]["b"] = self.n[T.ORDER]["t"] + self.n[T.ORDER]["o"]
+        for k in range(T.ORDER - 1, 0, -1):
+            for y in "tob":
+                for g in self.n[k + 1][y]:
+                    self.n[k][y][g[1:]] += 1
+
+    def p(self, y, k, h, w):
+        if k == 0:
+            return 1 / (len(self.n[1]["b"]) + 1)
+        if k < T.LOWEST:
+            y = "b"
+        strength = T.STRENGTH if k >= T.LOWEST else 0
+        after = {g[-1]: n for g, n in self.n[k][y].items() if g[:-1] == h}
+        total = sum(after.values()) + strength
+        lower = self.p(y, k - 1, h[1:], w)
+        return (max(after.get(w, 0) - T.DISCOUNT, 0) + (T.DISCOUNT * len(after) + strength) * lower) / total if total else lower
+
+    def difference(self, word):
+        s = T.BEGIN * (T.ORDER - 1) + word + T.END
+        at = [(s[i - T.ORDER + 1 : i], s[i]) for i in range(T.ORDER - 1, len(s))]
+        return sum(math.log(self.p("t", T.ORDER, h, w) / self.p("o", T.ORDER, h, w)) for h, w in at)
+
+
+def test_models_match_their_definition(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdeü") for _ in range(rng.randint(1, 7)))
+    toxic, ordinary = [word() for _ in range(60)] + ["grumblek"] * 9, [word() for _ in range(300)]
+    rows = [(1, " ".join(toxic[:30])), (1, " ".join(toxic[30:]).upper()), *((0, ", ".join(ordinary[i : i + 50])) for i in range(0, 300, 50)), (0, ""), (1, "12 _")]
+    counts = T._counts(spark.createDataFrame(rows, "_label int, _text string").repartition(3))
+    table = T.model(counts).toPandas()
+    assert not table.duplicated(["hi", "lo"]).any()
+    own, brute = T.Model(*(table[c].to_numpy() for c in ("hi", "lo", "d", "b"))), Brute(toxic, ordinary)
+    words = sorted({*toxic, *ordinary[:60], "grumbleks", "ungrumblek", "grumbxek", "zzz", "", "ünseen", "a" * 30})
+    for w, d in zip(words, own.words(words)):
+        assert abs(d - brute.difference(w)) < 1e-4 * (1 + len(w)), w
+    # the probabilities of all letters and of an unknown one add up to one
+    letters = {g[-1] for g in brute.n[1]["b"]}
+    for y in "to":
+        for h in ("\x01" * 5, "grumb", "abcab", "zzzzz"):
+            assert abs(sum(brute.p(y, T.ORDER, h, w) for w in [*letters, "?"]) - 1) < 1e-9
+    # an expression that is known in part only is told by its parts; of an unknown one nothing is known
+    said = dict(zip(words, own.words(words)))
+    assert min(said["grumbleks"], said["ungrumblek"], said["grumbxek"]) > 2 and abs(said["zzz"]) < 1.5
+
+
+def test_a_table_too_large_to_be_sent_is_joined(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(1, None), (None, ""), (None, "x"), (3, "word " * 5000)], "doc_id long, text string"))
+    sent = T.score_toxicity(rows, labels)
+    monkeypatch.setattr(T, "SENT", 0)
+    joined = T.score_toxicity(rows.repartition(3), labels)
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    a, b = (sorted(map(tuple, x.collect()), key=key) for x in (sent, joined))
+    assert len(a) == rows.count() and all(x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-6 for x, y in zip(a, b))
+    assert len({x[2] for x in a}) > 100
 
 
 def test_the_result_does_not_depend_on_partitions(spark):
