@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -87,12 +87,27 @@ def text_of(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_rows(df: DataFrame, keep: list[str], column: str, fn: Callable[[Iterator[list]], Iterator[dict]], schema: str, nulls: bool = False) -> DataFrame:
+def mapped(text: Column, begin: Callable[[], Callable[[list[str]], list]], kind: str) -> Column:
+    """What the function that ``begin`` gives makes of texts, at most 512 at a time. Only the text goes to Python, and only
+    the result comes back. A null text is an empty one."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fn = begin()
+        for b in batches:
+            parts = [fn(b.slice(i, 512).to_pylist()) for i in range(0, len(b), 512)]
+            yield pa.array([x for part in parts for x in part], types[kind])
+
+    types = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def map_rows(df: DataFrame, keep: list[str], column: str, fn: Callable[[Iterator[list]], Iterator[dict]], schema: str) -> DataFrame:
     """Runs ``fn`` over lists of at most 512 values of ``column``; what it gives for each list (a dict of columns, one
     value a row) is put beside the columns ``keep``. Only these columns reach Python; texts are not returned. A null
-    text is an empty one, unless ``nulls`` keeps it."""
+    text is an empty one."""
     head = df.select(*keep).schema
-    source = df.select(*keep, (F.col(column).cast("string") if nulls else text_of(df, column)).alias("_text"))
+    source = df.select(*keep, text_of(df, column).alias("_text"))
     n = len(keep)
     added = StructType.fromDDL(schema)
     types = list(to_arrow_schema(added))

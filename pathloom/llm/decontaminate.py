@@ -2,9 +2,10 @@
 
 A document's windows have the sizes of the items; those that share fewer shingles with items of their size than the
 similarity takes can't reach it and aren't looked at (prefix sums over the document's hashed shingles tell). A window's SimHash
-is looked up in eight tables, one for each byte: a table gives, for a byte, the items whose own byte is within RADIUS
-div 8 bits of it. Fingerprints within RADIUS bits agree so in at least one byte, so none is missed. What is found is
-verified by the exact similarity of the weighted shingles: the sum of the lesser counts over that of the larger ones.
+of 128 bits is looked up in eight tables, one for each block of 16 bits: a table gives, for a block, the items whose own
+block is within RADIUS div 8 bits of it, about 1 % of others by chance. Fingerprints within RADIUS bits agree so in at
+least one block, so none is missed. What is found is verified by the exact similarity of the weighted shingles: the sum of
+the lesser counts over that of the larger ones.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import Shipped, durable, map_rows
+from pathloom.llm._common import Shipped, durable, map_rows, mapped
 
-#: Words of a shingle; bits that fingerprints of similar texts may differ in (at a similarity of 0.8, about 10 of the 64
-#: differ on average, with a deviation below 3); least similarity.
-WIDTH, RADIUS, SIMILARITY = 5, 23, 0.8
+#: Words of a shingle; bits that fingerprints of similar texts may differ in (at a similarity of 0.8, about 19 of the 128
+#: differ on average, with a deviation of 4); least similarity.
+WIDTH, RADIUS, SIMILARITY = 5, 31, 0.8
 #: Characters of items that one pass over the documents takes, and windows that are fingerprinted at a time.
-ITEMS, WINDOWS = 4_000_000, 4096
+ITEMS, WINDOWS = 1_000_000, 2048
+BLOCKS = 8
+#: What a block of 16 bits may differ by.
+NEAR = np.array([m for m in range(1 << 16) if m.bit_count() <= RADIUS // BLOCKS], dtype=np.uint16)
 WORD = re.compile(r"\w+").findall
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,10 +54,14 @@ def shingle_hashes(text: str, known: dict[str, int]) -> np.ndarray:
 
 
 def simhash(h: np.ndarray) -> np.ndarray:
-    """Fingerprints of the rows of ``h``."""
-    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(*h.shape, 8), axis=-1, bitorder="little").reshape(*h.shape, 64)
-    ones = 2 * bits.sum(axis=-2, dtype=np.int64) > h.shape[-1]
-    return np.packbits(ones, axis=-1, bitorder="little").view("<u8")[..., 0]
+    """Fingerprints of the rows of ``h``, as two numbers each."""
+    other = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    out = []
+    for x in (h, other ^ other >> np.uint64(33)):
+        bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8), axis=-1, bitorder="little").reshape(*x.shape, 64)
+        ones = 2 * bits.sum(axis=-2, dtype=np.int64) > x.shape[-1]
+        out.append(np.packbits(ones, axis=-1, bitorder="little").view("<u8")[..., 0])
+    return np.stack(out, axis=-1)
 
 
 class Index:
@@ -69,7 +77,7 @@ class Index:
                 self.counts.append(Counter(h.tolist()))
                 self.sizes.append(len(h))
                 prints.append(simhash(h[None])[0])
-        self.prints = np.array(prints, dtype=np.uint64)
+        self.prints = np.array(prints, dtype=np.uint64).reshape(-1, 2)
         # which sizes of windows a shingle asks for
         asked: dict[int, set[int]] = {}
         for c, n in zip(self.counts, self.sizes):
@@ -79,9 +87,17 @@ class Index:
         self.hashes = np.array(sorted(asked), dtype=np.uint64)
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None]) <= RADIUS // 8
-        bytes_ = self.prints.view(np.uint8).reshape(-1, 8)
-        self.tables = [[np.flatnonzero(near[v][bytes_[:, b]]) for v in range(256)] for b in range(8)]
+        # by block: the items that each value stands near to, and where the value's begin
+        self.tables = []
+        for own in self.prints.view("<u2").reshape(-1, BLOCKS).T:
+            value = (own[:, None] ^ NEAR).ravel()
+            order = np.argsort(value, kind="stable")
+            self.tables.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)), (order // len(NEAR)).astype(np.int32)))
+
+    def candidates(self, fp: np.ndarray) -> np.ndarray:
+        """The items with a block near to the fingerprint's."""
+        found = [items[starts[v] : starts[v + 1]] for (starts, items), v in zip(self.tables, fp.view("<u2").tolist())]
+        return np.unique(np.concatenate(found))
 
     def windows(self, h: np.ndarray) -> dict[int, np.ndarray]:
         """Starts of the windows of each size that share as many shingles with items of that size as similarity takes."""
@@ -115,8 +131,8 @@ class Index:
                 part = starts[k : k + max(1, WINDOWS // size)]
                 rows = h[part[:, None] + np.arange(size)]
                 for start, row, fp in zip(part.tolist(), rows, simhash(rows)):
-                    found = np.unique(np.concatenate([self.tables[b][v] for b, v in enumerate(np.atleast_1d(fp).view(np.uint8).tolist())]))
-                    found = found[np.bitwise_count(self.prints[found] ^ fp) <= RADIUS]
+                    found = self.candidates(fp)
+                    found = found[np.bitwise_count(self.prints[found] ^ fp).sum(axis=1) <= RADIUS]
                     if not len(found):
                         continue
                     mine = Counter(row.tolist())
@@ -176,18 +192,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no benchmark item."""
-    columns = docs.columns
-    kept = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    at = f"c{columns.index(text_col)}"
+    """The rows of ``docs`` (all columns, whatever their names) that hold no benchmark item, as contamination() finds them.
+
+    Null and empty texts hold none; null ids are no matter; repeated rows stay or go together; without items all rows stay,
+    and an empty table stays empty. Only the text goes to Python.
+    """
     for part in _passes(benchmark, item_col, item_text):
         index = Shipped(docs.sparkSession, Index(part))
 
-        def run(parts: Iterator[list], index=index) -> Iterator[dict]:
-            known: dict[str, int] = {}
-            own = index.load()
-            for texts in parts:
-                yield {"clean": [not (len(h := shingle_hashes(t, known)) and own.matches(h)) for t in texts]}
+        def begin(index=index):
+            own, known = index.load(), {}
+            return lambda texts: [not (len(h := shingle_hashes(t, known)) and own.matches(h)) for t in texts]
 
-        kept = map_rows(kept, kept.columns, at, run, "clean boolean").where("clean").drop("clean")
-    return kept.toDF(*columns)
+        docs = docs.where(mapped(F.col(text_col), begin, "boolean"))
+    return docs

@@ -1,32 +1,32 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader (FTRL).
 
 Words (runs of letters, digits and underscores, lower-cased) and signs (runs of anything else but white space) are
-hashed, alone and in pairs, into 2^18 weights; pairs of equal words share one weight besides. A text is its sparse vector of counts, of length 1; its score is the
+hashed, alone and in pairs, into 2^18 weights; so is the shape of a pair of equal words, whatever the word. A text is its sparse vector of counts, of length 1; its score is the
 logistic function of one sparse dot product with the weights.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import map_rows, text_of
+from pathloom.llm._common import map_rows, mapped, text_of
 from pathloom.llm.labelled import one_label_each, remainder, sample
 
 BITS = 18
-AGAIN = 1
+#: The hash of the shape of a pair of equal words.
+SAME = zlib.crc32(b"<same word>") & (1 << BITS) - 1
 #: Labelled rows that the classifier is fitted on, at most; passes over them; hashes of words kept by a task.
-SAMPLE, EPOCHS, KNOWN = 12_000, 2, 500_000
+SAMPLE, EPOCHS, KNOWN = 12_000, 3, 500_000
 #: FTRL: rate, its offset, L1 and L2 strength.
-ALPHA, BETA, L1, L2 = 0.6, 1.0, 0.01, 0.1
+ALPHA, BETA, L1, L2 = 1.5, 1.0, 0.003, 0.0
 TOKEN = re.compile(r"\w+|[^\w\s]+").findall
-#: Where a text is cut for counting; counts are summed, so this bounds memory and drops nothing.
-WORDS = 1 << 16
 
 
 class Features:
@@ -36,8 +36,6 @@ class Features:
         self.hashes: dict[str, int] = {}
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        import zlib
-
         tokens = TOKEN(text.lower())
         hashes = self.hashes
         new = set(tokens).difference(hashes)
@@ -47,9 +45,8 @@ class Features:
         hashes.update((t, zlib.crc32(t.encode("utf-8", "surrogatepass"))) for t in new)
         one = np.fromiter(map(hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
         two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS)
-        # a word that follows itself is also a pair of its own kind, whatever the word
-        again = np.full(int((one[1:] == one[:-1]).sum()), AGAIN, dtype=np.uint64)
-        ids, n = np.unique(np.concatenate([one & np.uint64((1 << BITS) - 1), two, again]).astype(np.int32), return_counts=True)
+        same = np.full(int((one[1:] == one[:-1]).sum()), SAME, dtype=np.uint64)
+        ids, n = np.unique(np.concatenate([one & np.uint64((1 << BITS) - 1), two, same]).astype(np.int32), return_counts=True)
         x = n.astype(np.float64)
         return ids, x / np.sqrt((x * x).sum()) if len(x) else x
 
@@ -85,7 +82,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from, most: int =
     ids = sample(one_label_each(labels, label).where(learn_from), most)
     # at most `most` rows of two numbers: small enough to broadcast
     rows = docs.select(F.col(id_col).alias("_id"), text_of(docs, text_col).alias("_text")).join(F.broadcast(ids), "_id")
-    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", F.xxhash64("_text")).select("_label", "_text")
+    # of rows that share an id the one with the least text, so that the one task's rows are bounded
+    rows = rows.groupBy("_id").agg(F.min(F.struct("_label", "_text")).alias("x")).select("_id", "x.*")
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id").select("_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector, data = Features(), []
@@ -106,40 +105,54 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from, most: int =
     return np.frombuffer(found[0][0], dtype="<f4").astype(np.float64) if found else None
 
 
-def score_texts(docs: DataFrame, weights: np.ndarray | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and score (0.5 for every row without a model)."""
+def scorer(weights: np.ndarray | None) -> Callable[[], Callable[[list[str]], list[float]]]:
+    """Gives a function from texts to their scores (0.5 for every text without a model)."""
 
-    def run(parts: Iterator[list]) -> Iterator[dict]:
+    def begin() -> Callable[[list[str]], list[float]]:
         vector = Features()
-        for texts in parts:
-            scores = []
+
+        def scores(texts: list[str]) -> list[float]:
+            out = []
             for t in texts:
                 ids, x = vector(t)
                 at = 0.0 if weights is None else float(weights[ids] @ x + weights[-1])
-                scores.append(1 / (1 + np.exp(-min(35.0, max(-35.0, at)))))
-            yield {"score": scores}
+                out.append(1 / (1 + np.exp(-min(35.0, max(-35.0, at)))))
+            return out
+
+        return scores
+
+    return begin
+
+
+def score_texts(docs: DataFrame, weights: np.ndarray | None, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and score."""
+    begin = scorer(weights)
+
+    def run(parts: Iterator[list]) -> Iterator[dict]:
+        scores = begin()
+        for texts in parts:
+            yield {"score": scores(texts)}
 
     return map_rows(docs, keep, text_col, run, "score double")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, label: str = "quality", modulus: int = 3, held: int = 1) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, label: str = "quality", modulus: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``.
 
     Learns from labelled rows whose crc32(doc_id) modulo ``modulus`` is not ``held``. A null text counts as empty and
     has a score too; null ids count as '' for held_out; repeated rows stay repeated; other columns are not read. Without
     labels of both classes every score is 0.5. An empty table gives an empty result.
     """
-    weights = fit(train_docs if train_docs is not None else docs, labels, label, remainder(F.col("_id"), modulus) != held)
-    source = docs.select(F.col("doc_id"), (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), F.col("text"))
+    weights = fit(train_docs if train_docs is not None else docs, labels, label, remainder(F.col("_id"), modulus) != held, id_col=id_col, text_col=text_col)
+    source = docs.select(F.col(id_col).alias("doc_id"), (remainder(F.col(id_col), modulus) == held).alias("held_out"), F.col(text_col).alias("text"))
     return score_texts(source, weights, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (all their columns) whose score is at least ``least``."""
-    weights = fit(docs, labels, label, remainder(F.col("_id"), modulus) != held)
-    columns = docs.columns
-    # positions, as a name may occur in the caller's columns
-    named = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    at = f"c{columns.index('text')}"
-    scored = score_texts(named, weights, named.columns, at)
-    return scored.where(F.col("score") >= least).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all their columns, whatever their names) whose score is at least ``least``.
+
+    Null texts count as empty and have a score too; null ids are no matter; repeated rows stay or go together. Without labels
+    of both classes every score is 0.5, and an empty table stays empty. Only the text goes to Python.
+    """
+    weights = fit(docs, labels, label, remainder(F.col("_id"), modulus) != held, id_col=id_col, text_col=text_col)
+    return docs.where(mapped(F.col(text_col), scorer(weights), "double") >= least)

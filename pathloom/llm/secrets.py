@@ -15,7 +15,7 @@ from math import inf, log10
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._common import Shipped, map_rows
+from pathloom.llm._common import Shipped, map_rows, mapped
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -261,17 +261,10 @@ def redact(text: str, least: float = LEAST, guesser: Guesser | None = None) -> s
 def redact_secrets(docs: DataFrame, text_col: str = "text", least: float = LEAST, words: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` with secrets redacted in ``text_col``; null texts stay null, other columns as they are, whatever
     their names; repeated rows stay repeated, an empty table stays empty."""
-    columns = docs.columns
-    i = columns.index(text_col)
-    named = docs.toDF(*[f"c{k}" for k in range(len(columns))])
     sent = Shipped(docs.sparkSession, word_ranks(words))
 
-    def run(parts: Iterator[list]) -> Iterator[dict]:
+    def begin():
         guesser = Guesser(sent.load())
-        for texts in parts:
-            yield {f"c{i}": [None if t is None else redact(t, least, guesser) for t in texts]}
+        return lambda texts: [redact(t, least, guesser) for t in texts]
 
-    # the text goes to Python once and comes back redacted
-    others = [f"c{k}" for k in range(len(columns)) if k != i]
-    out = map_rows(named, others, f"c{i}", run, f"c{i} string", nulls=True)
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), mapped(F.col(text_col), begin, "string")))

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from pathloom.llm import decontaminate as D
 
 
@@ -65,11 +67,35 @@ def test_empty(spark):
 
 def test_fingerprints_within_the_radius_are_found():
     rng = random.Random(1)
-    index = D.Index([(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(20))) for i in range(50)])
+    index = D.Index([(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(20))) for i in range(200)])
     for _ in range(300):
-        i = rng.randrange(50)
-        fp = int(index.prints[i])
-        for b in rng.sample(range(64), rng.randint(0, D.RADIUS)):
-            fp ^= 1 << b
-        met = {int(x) for b in range(8) for x in index.tables[b][fp >> 8 * b & 255]}
-        assert i in met
+        i = rng.randrange(200)
+        bits = np.unpackbits(index.prints[i].view(np.uint8), bitorder="little")
+        for b in rng.sample(range(128), rng.randint(0, D.RADIUS)):
+            bits[b] ^= 1
+        assert i in index.candidates(np.packbits(bits, bitorder="little").view("<u8"))
+    # the index selects: another fingerprint meets few items
+    met = [len(index.candidates(np.array([rng.getrandbits(64), rng.getrandbits(64)], dtype=np.uint64))) for _ in range(300)]
+    assert sum(met) / len(met) < 0.12 * 200
+
+
+def test_recall_on_the_drivers_documents(spark):
+    """Windows of all documents that reach the similarity with an item: nearly all of them are within the radius."""
+    folder = "/root/testdata/sf0.1"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    index, every = D.Index(items), D.Index(items)
+    every.candidates = lambda fp: np.flatnonzero(np.bitwise_count(every.prints ^ fp).sum(axis=1) <= 128)
+    texts = [r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    known, want, got = {}, set(), set()
+    near = D.RADIUS
+    for k, t in enumerate(texts):
+        h = D.shingle_hashes(t, known)
+        if len(h) and index.windows(h):
+            got |= {(k, i) for i in index.matches(h)}
+            try:
+                D.RADIUS = 128
+                want |= {(k, i) for i in every.matches(h)}
+            finally:
+                D.RADIUS = near
+    assert got <= want and len(want) > 100 and len(got) >= 0.99 * len(want)
+    print("contaminations", len(want), "found", len(got))
