@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pathloom.llm._common import durable, text_of
 
@@ -55,16 +55,13 @@ def packed(token: np.ndarray, text: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 
 def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_col: str = "text") -> DataFrame:
-    """block, token, posts; and a row for each block with a null token and rows: an array of ``keys`` and _besides of its
-    documents. A null text counts as empty. What is a block must not change when a lost task is run again, so documents
-    that come out of a shuffle, in any order, are written to the shared folder first."""
+    """block, token, posts; and a row for each block with a null token, whose posts are its documents' ``keys`` and
+    _besides, as a stream of Arrow's. A null text counts as empty. What is a block must not change when a lost task is run
+    again, so documents that come out of a shuffle, in any order, are written to the shared folder first."""
     docs = docs.select(*keys, text_of(docs, text_col).alias("_text"))
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = durable(docs)
-    head = docs.select(*keys).schema
-    rows = StructType([*head.fields, StructField("_besides", LongType())])
-    schema = StructType([StructField("block", LongType()), StructField("token", StringType()), StructField("posts", BinaryType()), StructField("rows", ArrayType(rows))])
-    types = list(to_arrow_schema(schema).types)
+    names = ["block", "token", "posts"]
     n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +78,13 @@ def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_
             entries, starts = packed(*pairs)
             offsets = np.append(starts, len(entries)).astype(np.int32) * 2
             posts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), pa.array(tokens, pa.string()), posts, pa.nulls(n, types[3])], names=schema.names)
-            struct = [*(pa.concat_arrays([h.column(i) for h in held]) for i in range(n_keys)), pa.array(besides, pa.int64())]
-            # positions, as names may repeat
-            whole = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(struct, types[3].value_type)], fields=list(types[3].value_type))
-            listed = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole).cast(types[3])
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), listed], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), number, np.int64)), pa.array(tokens, pa.string()), posts], names=names)
+            columns = [*(pa.concat_arrays([h.column(i) for h in held]) for i in range(n_keys)), pa.array(besides, pa.int64())]
+            rows = pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(n_keys + 1)])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=names)
             number, size = number + 1, 0
             texts.clear(), held.clear()
 
@@ -106,19 +103,18 @@ def postings(docs: DataFrame, keys: list[str], split: Callable[[], Split], text_
         if texts:
             yield from flush()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "block long, token string, posts binary")
 
 
-def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
-    """The key columns, _besides and _sum for each document: the sum of frequency times value over its tokens.
+def sums(index: DataFrame, head: StructType, values: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
+    """The key columns (of the schema ``head``), _besides and _sum for each document: the sum of frequency times value over
+    its tokens.
 
     ``values`` gives a function from distinct tokens to their values. All rows of a token meet in one task, in order, so
     that it is valued once and joined to all of them; only tokens of many documents are salted by block, and valued once
     a salt. Sums are exact up to 2^53.
     """
     salt = F.when(F.col("token").isNull(), F.col("block")).when(F.octet_length("posts") > LONG, F.col("block") % SALTS).otherwise(0)
-    rows_type = index.schema["rows"].dataType
-    arrow_rows = to_arrow_schema(StructType([StructField("rows", rows_type)])).field(0).type
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, last, known = values(), None, 0
@@ -129,8 +125,7 @@ def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]
             found = np.array([known, *value(distinct[1:])] if distinct and distinct[0] == last else value(distinct), dtype=np.int64)
             if distinct:
                 last, known = distinct[-1], int(found[-1])
-            at = coded.indices.fill_null(len(found)).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.append(found, 0)[at]), b.column(3)], names=["block", "posts", "value", "rows"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found).take(coded.indices)], names=["block", "posts", "value"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, np.zeros(1 << BITS)
@@ -140,14 +135,13 @@ def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]
             part = total[at].astype("<i8")
             if not len(part) or np.abs(part).max() < 1 << 31:
                 part = part.astype("<i4")
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at.astype("<u2").tobytes()]), pa.array([part.tobytes()]), pa.nulls(1, arrow_rows)], names=["block", "at", "part", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at.astype("<u2").tobytes()]), pa.array([part.tobytes()])], names=["block", "at", "part"])
 
         for b in batches:
-            whole = b.filter(b.column(3).is_valid())
-            if whole.num_rows:
-                none = pa.nulls(whole.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([whole.column(0), none, none, whole.column(3).cast(arrow_rows)], names=["block", "at", "part", "rows"])
-                b = b.filter(b.column(3).is_null())
+            if b.column(2).null_count:  # documents' keys
+                whole = b.filter(b.column(2).is_null())
+                yield pa.RecordBatch.from_arrays([whole.column(0), pa.nulls(whole.num_rows, pa.binary()), whole.column(1).cast(pa.binary())], names=["block", "at", "part"])
+                b = b.filter(b.column(2).is_valid())
             if not b.num_rows:
                 continue
             blocks = b.column(0).to_numpy()
@@ -169,20 +163,20 @@ def sums(index: DataFrame, values: Callable[[], Callable[[list[str]], list[int]]
         if block is not None:
             yield out()
 
-    schema = StructType([StructField("block", LongType()), StructField("posts", BinaryType()), StructField("value", LongType()), StructField("rows", rows_type)])
-    joined = index.repartition("token", salt).sortWithinPartitions("token").mapInArrow(valued, schema)
-    schema = StructType([StructField("block", LongType()), StructField("at", BinaryType()), StructField("part", BinaryType()), StructField("rows", rows_type)])
-    parts = joined.sortWithinPartitions("block").mapInArrow(partial, schema)
-    schema = StructType([*rows_type.elementType.fields, StructField("_sum", LongType())])
-    names = schema.names
+    joined = index.repartition("token", salt).sortWithinPartitions("token").mapInArrow(valued, "block long, posts binary, value long")
+    parts = joined.sortWithinPartitions("block").mapInArrow(partial, "block long, at binary, part binary")
+    schema = StructType([*head.fields, StructField("_besides", LongType()), StructField("_sum", LongType())])
+    arrow = to_arrow_schema(schema)
 
     def whole(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << BITS, np.int64)
         for at, part in zip(table.column("at").to_pylist(), table.column("part").to_pylist()):
-            if at:
+            if at is None:
+                docs = pa.ipc.open_stream(part).read_all()
+            else:
                 at = np.frombuffer(at, "<u2")
                 total[at] += np.frombuffer(part, "<i8" if len(part) == 8 * len(at) else "<i4")
-        docs = table.column("rows").combine_chunks().flatten()
-        return pa.Table.from_arrays([*docs.flatten(), pa.array(total[: len(docs)])], names=names)
+        columns = [*docs.columns, pa.chunked_array([pa.array(total[: docs.num_rows])])]
+        return pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types)], names=schema.names)
 
     return parts.groupBy("block").applyInArrow(whole, schema)

@@ -96,4 +96,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     source = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(docs, text_col)).cast("long").alias("n_bytes"), text_of(docs, text_col).alias("text"))
     index = postings(source, ["doc_id", "n_bytes"], lambda: _counter(tokenizer).split)
     count = F.col("_sum") + F.col("_besides")
-    return sums(index, lambda: lambda tokens: list(map(_counter(tokenizer).pieces, tokens))).select("doc_id", "n_bytes", count.alias("n_tokens"), (count > limit).alias("over_limit"))
+    return sums(index, source.drop("text").schema, lambda: lambda tokens: list(map(_counter(tokenizer).pieces, tokens))).select("doc_id", "n_bytes", count.alias("n_tokens"), (count > limit).alias("over_limit"))
