@@ -59,7 +59,7 @@ class PropertyGraph:
         number = len(self.vertices) + 1
         value = F.col(key) if isinstance(key, str) else key
         columns = self._props(df, props)
-        out = df.select((value.cast("long") + F.lit(number << KEY_BITS)).alias("id"), *[F.col(c).alias(p) for c, p in columns])
+        out = df.select((_in_range(value) + F.lit(number << KEY_BITS)).alias("id"), *[F.col(c).alias(p) for c, p in columns])
         self.vertices.append(ElementTable((label,), out, {p.lower(): p for _, p in columns}))
         return self
 
@@ -70,7 +70,7 @@ class PropertyGraph:
 
         def end(at: tuple[str, str | Column]) -> Column:
             value = F.col(at[1]) if isinstance(at[1], str) else at[1]
-            return value.cast("long") + F.lit(self._number(at[0]) << KEY_BITS)
+            return _in_range(value) + F.lit(self._number(at[0]) << KEY_BITS)
 
         columns = self._props(df, props)
         own = None if key is None else ((F.col(key) if isinstance(key, str) else key).cast("long") + F.lit(number << KEY_BITS)).alias("id")
@@ -95,6 +95,12 @@ class PropertyGraph:
         return pairs
 
 
+def _in_range(key: Column) -> Column:
+    """An integer key from 0 to 2^48, else an error; null stays null."""
+    value = key.cast("long")
+    return F.when(value.isNull() | value.between(0, (1 << KEY_BITS) - 1), value).otherwise(F.raise_error(F.lit("a key is not between 0 and 2^48")).cast("long"))
+
+
 def edge_id(t: ElementTable, number: int) -> Column:
     """The id column of an edge table; a row's place where the table has no key."""
     return F.col("id") if not t.id_made else F.monotonically_increasing_id() + F.lit(number << 56)

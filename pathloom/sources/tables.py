@@ -15,7 +15,9 @@ def shop_graph(spark: SparkSession, folder: str) -> PropertyGraph:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
     nation, customer, supplier, orders, lineitem, events = map(read, ("nation", "customer", "supplier", "orders", "lineitem", "events"))
-    turns = read("conversations").withColumn("key", F.col("conv_id") * 64 + F.col("turn"))
+    # a million turns a conversation, or an error
+    turn = F.when(F.col("turn").between(0, (1 << 20) - 1), F.col("turn")).otherwise(F.raise_error(F.lit("a turn's number is out of range")).cast("int"))
+    turns = read("conversations").withColumn("key", F.col("conv_id") * (1 << 20) + turn)
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
     steps = turns.join(last, "conv_id").where(F.col("turn") < F.col("last"))
     k = F.col("n_nationkey")
