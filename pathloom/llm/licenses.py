@@ -72,7 +72,7 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     """template (number), license, span (words of its windows), stride, shingles, signature; a row for each template."""
     rows = pa.table({"template": pa.array(range(len(templates)), pa.int32()), "license": [x for x, _ in templates], "notice": [t for _, t in templates]}, schema=pa.schema([("template", pa.int32()), ("license", pa.string()), ("notice", pa.string())]))
     t = spark.createDataFrame(rows).withColumn("w", _words(F.col("notice"))).where(F.size("w") > 0).withColumn("h", _hashes("w"))
-    # windows come in few sizes: the template's, rounded up to a power of the square root of 2 at most 1.25 times it
+    # windows come in few sizes: the template's words and a stride of a quarter of them
     t = t.withColumn("stride", F.expr("greatest(1, int(size(w) / 4))")).withColumn("span", F.expr("size(w) + stride - 1"))
     return t.select("template", "license", "span", "stride", F.array_distinct(_shingles("w")).alias("shingles"), _signature("h").alias("signature"), F.array_distinct("h").alias("h"))
 
