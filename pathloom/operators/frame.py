@@ -205,7 +205,7 @@ class Frame(Scope):
 
     def function(self, n: A.Call) -> Value:
         if n.name == "MATCH_NUMBER":
-            return Value(F.monotonically_increasing_id() + 1, "int")
+            raise BindError("MATCH_NUMBER is of a statement's own matches")
         if n.name == "ELEMENT_NUMBER" and isinstance(n.args[0], A.Var):
             return Value(F.lit(self.single(n.args[0].name).number).cast("long"), "int")
         return super().function(n)

@@ -17,7 +17,7 @@ from pathloom.lang import ast as A
 from pathloom.lang.errors import BindError, CatalogError
 from pathloom.operators.frame import Bound, Frame, Needs, common_props, scan, slot
 from pathloom.operators.paths import all_walks, best_walks, reachable
-from pathloom.plans.durable import write
+from pathloom.plans.durable import durable
 from pathloom.sources.graph import ElementTable, PropertyGraph
 
 
@@ -288,7 +288,7 @@ class Matcher:
             self._scan_vertex(frame, va)
         start, other = (vb, va) if backwards else (va, vb)
         at = f"{start.bound.slot}_id"
-        seeds = write(frame.df.select(F.col(at).alias("root")).where("root is not null").distinct())
+        seeds = durable(frame.df.select(F.col(at).alias("root")).where("root is not null").distinct())
         if isinstance(x.link, A.Reach):
             found = self._reach(x, seeds, backwards)
         else:
@@ -388,7 +388,7 @@ class Matcher:
             columns += [f"{g.slot}_{c}" for c in own]
         hop = F.struct(*(columns or [f"{b.slot}_id"]))
         # ids made on the fly become data here, so that all steps see the same ones
-        hops = write(hop_frame.df.select(F.col(here).alias("from"), F.col(there).alias("to"), F.col(f"{b.slot}_id").alias("hop_id"), cost.alias("hop_cost"), hop.alias("hop")))
+        hops = durable(hop_frame.df.select(F.col(here).alias("from"), F.col(there).alias("to"), F.col(f"{b.slot}_id").alias("hop_id"), cost.alias("hop_cost"), hop.alias("hop")))
         for g in group:
             g.path = path
             frame.vars[g.name.lower()] = g

@@ -10,14 +10,14 @@ from pathloom.lang import ast as A
 from pathloom.lang.errors import BindError
 from pathloom.operators.frame import Frame, Needs
 from pathloom.operators.select import Selector
-from pathloom.plans.durable import write
+from pathloom.plans.durable import durable
 from pathloom.sources.catalog import StoredGraph, Warehouse, p_name, store
 from pathloom.sources.graph import ElementTable
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, int]:
     """``df`` with _n, gapless from 0, and its number of rows: from per-partition counts, without one big sort."""
-    kept = write(df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    kept = durable(df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     counts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("c"), F.min("_row").alias("first")).orderBy("_part").collect()
     before, offsets = 0, []
     for r in counts:
@@ -121,7 +121,7 @@ class Modifier:
                 plan[key][1][p.name.lower()] = (p.name, f"x{i}")
                 columns.append(bind(x, frame).col.alias(f"x{i}"))
                 i += 1
-        rows = write(frame.df.select(*columns))
+        rows = durable(frame.df.select(*columns))
         changes: dict[tuple[str, str], list] = {}
         for key, (b, props) in plan.items():
             kind = "vertices" if b.kind == "vertex" else "edges"
@@ -161,7 +161,7 @@ class Modifier:
         for v in n.names:
             b = self._element(frame, v, g)
             columns.append((("vertices" if b.kind == "vertex" else "edges"), frame.identity(v)))
-        rows = write(frame.df.select(*[c.alias(f"d{i}") for i, (_, c) in enumerate(columns)]))
+        rows = durable(frame.df.select(*[c.alias(f"d{i}") for i, (_, c) in enumerate(columns)]))
         for i, (kind, _) in enumerate(columns):
             ids = rows.select(F.col(f"d{i}").alias("_id")).distinct()
             doomed[kind] = ids if kind not in doomed else doomed[kind].unionAll(ids).distinct()

@@ -28,6 +28,14 @@ class Selector:
         where = conjuncts(n.tail.where)
         matcher = Matcher(self.graph_of, needs, n.macros, self.params, self.spark)
         frame = matcher.compile(n.matches, where, outer)
+        # one number for each match, whatever asks for it
+        numbers = {A.text(x): x for x in n.walk(into_selects=False) if isinstance(x, A.Call) and x.name == "MATCH_NUMBER"}
+        if numbers:
+            name = slot("m")
+            frame.df = frame.df.withColumn(name, F.monotonically_increasing_id() + 1)
+            for key, x in numbers.items():
+                frame.single(x.args[0].name)
+                frame.attached[key] = Value(F.col(name), "int")
         for w in where:
             if isinstance(w, A.Exists):
                 self.exists(frame, w, needs, n.macros)

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathloom import dbapi
+from pathloom.lang.errors import GraphError
+from pathloom.lang.parser import parse
 from pathloom.session import Session
 from pathloom.sources.tables import shop_graph
 
@@ -85,7 +88,13 @@ QUERIES: dict[str, tuple[str, str]] = {
     "fn_out_degree": ("SELECT o.o_orderkey AS k FROM MATCH (o:Purchase) WHERE OUT_DEGREE(o) > 12", "select l_orderkey as k from lineitem group by l_orderkey having 2 * count(*) > 12"),
     "fn_all_different": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, c.n_nationkey AS c FROM MATCH (a:Nation)-[:route]->(b:Nation)-[:route]->(c:Nation) WHERE ALL_DIFFERENT(a, b, c)", f"with route as ({ROUTE}) select cast(x.a as integer) as a, cast(x.b as integer) as b, cast(y.b as integer) as c from route x join route y on x.b = y.a where x.a <> x.b and x.a <> y.b and x.b <> y.b"),
     "fn_element_number": ("SELECT ELEMENT_NUMBER(c) AS c, ELEMENT_NUMBER(e) AS e, ELEMENT_NUMBER(n) AS n FROM MATCH (c:Customer)-[e:lives_in]->(n:Nation)", "select cast(1 as bigint) as c, cast(2 as bigint) as e, cast(3 as bigint) as n from customer"),
-    "fn_match_number": ("SELECT COUNT(*) AS n FROM MATCH (c:Customer) WHERE MATCH_NUMBER(c) > 0", "select count(*) as n from customer"),
+    # the table of regions is one file in the order of its keys
+    "fn_match_number": ("SELECT r.r_regionkey AS k, MATCH_NUMBER(r) AS m FROM MATCH (r:Region) WHERE MATCH_NUMBER(r) > 2 ORDER BY m DESC", "select r_regionkey as k, cast(r_regionkey + 1 as bigint) as m from region where r_regionkey + 1 > 2 order by m desc"),
+    "fn_match_number_distinct": ("SELECT COUNT(DISTINCT MATCH_NUMBER(c)) AS d, COUNT(*) AS n, COUNT(DISTINCT MATCH_NUMBER(o) - MATCH_NUMBER(c)) AS same FROM MATCH (c:Customer)-[:placed]->(o:Purchase) WHERE MATCH_NUMBER(c) = MATCH_NUMBER(o)", "select count(*) as d, count(*) as n, cast(1 as bigint) as same from orders"),
+    "fn_labels": ("SELECT LABELS(x) AS l, COUNT(*) AS n FROM MATCH (x:Customer|Supplier) GROUP BY l", "select ['Customer'] as l, count(*) as n from customer union all select ['Supplier'], count(*) from supplier"),
+    "theta_join": ("SELECT p.p_partkey AS p, r.r_regionkey AS r FROM MATCH (p:Part), MATCH (r:Region) WHERE p.p_size > r.r_regionkey * 12", "select p_partkey as p, r_regionkey as r from part join region on p_size > r_regionkey * 12"),
+    "float_to_decimal": ("SELECT l.line AS line, CAST(l.quantity * 0.5 + 1.25 AS DOUBLE) AS v FROM MATCH (o:Purchase)-[l:contains]->(p:Part)", "select l_linenumber as line, l_quantity * 0.5::double + 1.25::double as v from lineitem"),
+    "unreserved_names": ("SELECT end.n_nationkey AS offset, all.n_nationkey AS any FROM MATCH (all:Nation)-[path:route]->(end:Nation) WHERE path.cost > 3", f"with route as ({ROUTE}) select cast(b as integer) as \"offset\", cast(a as integer) as \"any\" from route where cost > 3"),
     # subqueries
     "exists": ("SELECT c.c_custkey AS k FROM MATCH (c:Customer) WHERE EXISTS (SELECT * FROM MATCH (c)-[:placed]->(o) WHERE o.o_totalprice > 450000)", "select c_custkey as k from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 450000)"),
     "not_exists": ("SELECT c.c_custkey AS k FROM MATCH (c:Customer) WHERE NOT EXISTS (SELECT * FROM MATCH (c)-[:placed]->(o:Purchase) WHERE o.o_totalprice > c.c_acctbal * 30)", "select c_custkey as k from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > c_acctbal * 30)"),
@@ -113,27 +122,29 @@ QUERIES: dict[str, tuple[str, str]] = {
     "select_all_props": ("SELECT n.* FROM MATCH (n:Nation)", "select n_nationkey, n_name, n_regionkey from nation"),
     "select_prefix": ("SELECT n.* PREFIX 'x_' FROM MATCH (n:Nation)", "select n_nationkey as x_n_nationkey, n_name as x_n_name, n_regionkey as x_n_regionkey from nation"),
     # paths
-    "reach_star": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM MATCH (a:Nation)-/:route*/->(b:Nation) WHERE a.n_nationkey < 5", f"{_walk(25)} select distinct cast(root as integer) as a, cast(node as integer) as b from walk where root < 5"),
+    "reach_star": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM MATCH (a:Nation)-/:route*/->(b:Nation)", f"{_walk(25)} select distinct cast(root as integer) as a, cast(node as integer) as b from walk"),
     "reach_plus": ("SELECT COUNT(*) AS n FROM MATCH (a:Turn)-/:next_turn+/->(b:Turn)", "select count(*) as n from conversations a join conversations b on a.conv_id = b.conv_id and b.turn > a.turn"),
     "reach_opt": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM MATCH (a:Nation)-/:route?/->(b:Nation)", f"{_walk(1)} select distinct cast(root as integer) as a, cast(node as integer) as b from walk"),
     "reach_n": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM MATCH (a:Nation)-/:route{2}/->(b:Nation)", f"{_walk(2)} select distinct cast(root as integer) as a, cast(node as integer) as b from walk where n = 2"),
-    "reach_n_up": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM MATCH (a:Nation)-/:route{2,}/->(b:Nation) WHERE a.n_nationkey = 7", f"{_walk(27)} select distinct cast(root as integer) as a, cast(node as integer) as b from walk where n >= 2 and root = 7"),
+    "reach_n_up": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM MATCH (a:Nation)-/:route{2,}/->(b:Nation)", f"{_walk(27)} select distinct cast(root as integer) as a, cast(node as integer) as b from walk where n >= 2"),
     "reach_range": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM MATCH (a:Nation)<-/:route{2,3}/-(b:Nation)", f"{_walk(3)} select distinct cast(node as integer) as a, cast(root as integer) as b from walk where n >= 2"),
     "reach_backwards": ("SELECT a.n_nationkey AS a FROM MATCH (a:Nation)-/:route{1,2}/->(b:Nation) WHERE b.n_name = 'NATION_9'", f"{_walk(2)} select distinct cast(root as integer) as a from walk where n >= 1 and node = 9"),
-    "path_any": ("SELECT b.n_nationkey AS b FROM MATCH ANY (a:Nation)-[e:route]->+(b:Nation) WHERE a.n_nationkey = 2", f"{_walk(26)} select distinct cast(node as integer) as b from walk where n >= 1 and root = 2"),
+    "path_any": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM MATCH ANY (a:Nation)-[e:route]->+(b:Nation)", f"{_walk(26)} select distinct cast(root as integer) as a, cast(node as integer) as b from walk where n >= 1"),
     "path_any_shortest": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, COUNT(e) AS hops FROM MATCH ANY SHORTEST (a:Nation)-[e:route]->*(b:Nation)", f"{_walk(25)} select cast(root as integer) as a, cast(node as integer) as b, cast(min(n) as bigint) as hops from walk group by root, node"),
-    "path_all_shortest": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, COUNT(e) AS hops, SUM(e.cost) AS cost FROM MATCH ALL SHORTEST (a:Nation)-[e:route]->+(b:Nation) WHERE a.n_nationkey < 3", f"{_paths(9)} select cast(root as integer) as a, cast(node as integer) as b, cast(n as bigint) as hops, cost from (select *, rank() over (partition by root, node order by n) as r from walk where n >= 1 and root < 3) where r = 1"),
-    "path_top_k_shortest": ("SELECT b.n_nationkey AS b, COUNT(e) AS hops FROM MATCH TOP 3 SHORTEST (a:Nation)-[e:route]->*(b:Nation) WHERE a.n_nationkey = 4", f"{_paths(12)} select cast(node as integer) as b, cast(n as bigint) as hops from (select *, row_number() over (partition by root, node order by n, ids) as r from walk where root = 4) where r <= 3"),
-    "path_any_cheapest": ("SELECT b.n_nationkey AS b, SUM(e.cost) AS cost FROM MATCH ANY CHEAPEST (a:Nation) (-[e:route]-> COST e.cost)* (b:Nation) WHERE a.n_nationkey = 3", f"{_paths(11)} select cast(node as integer) as b, case when min(cost) > 0 then min(cost) end as cost from walk where root = 3 group by node"),
-    "path_all_cheapest": ("SELECT b.n_nationkey AS b, COUNT(e) AS hops FROM MATCH ALL CHEAPEST (a:Nation) (-[e:route]-> COST e.cost)+ (b:Nation) WHERE a.n_nationkey = 3", f"{_paths(12)} select cast(node as integer) as b, cast(n as bigint) as hops from (select *, rank() over (partition by node order by cost) as r from walk where root = 3 and n >= 1) where r = 1"),
-    "path_top_k_cheapest": ("SELECT b.n_nationkey AS b, SUM(e.cost) AS cost FROM MATCH TOP 2 CHEAPEST (a:Nation) (-[e:route]-> COST e.cost){1,4} (b:Nation) WHERE a.n_nationkey = 1", f"{_paths(4)} select cast(node as integer) as b, cost from (select *, row_number() over (partition by node order by cost, n, ids) as r from walk where root = 1 and n >= 1) where r <= 2"),
+    "path_all_shortest": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, COUNT(e) AS hops, SUM(e.cost) AS cost FROM MATCH ALL SHORTEST (a:Nation)-[e:route]->+(b:Nation)", f"{_paths(9)} select cast(root as integer) as a, cast(node as integer) as b, cast(n as bigint) as hops, cost from (select *, rank() over (partition by root, node order by n) as r from walk where n >= 1) where r = 1"),
+    "path_top_k_shortest": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, COUNT(e) AS hops FROM MATCH TOP 3 SHORTEST (a:Nation)-[e:route]->*(b:Nation)", f"{_paths(12)} select cast(root as integer) as a, cast(node as integer) as b, cast(n as bigint) as hops from (select *, row_number() over (partition by root, node order by n, ids) as r from walk) where r <= 3"),
+    "path_any_cheapest": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, SUM(e.cost) AS cost FROM MATCH ANY CHEAPEST (a:Nation) (-[e:route]-> COST e.cost)* (b:Nation)", f"{_paths(13)} select cast(root as integer) as a, cast(node as integer) as b, case when min(cost) > 0 then min(cost) end as cost from walk group by root, node"),
+    "path_all_cheapest": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, COUNT(e) AS hops FROM MATCH ALL CHEAPEST (a:Nation) (-[e:route]-> COST e.cost)+ (b:Nation)", f"{_paths(13)} select cast(root as integer) as a, cast(node as integer) as b, cast(n as bigint) as hops from (select *, rank() over (partition by root, node order by cost) as r from walk where n >= 1) where r = 1"),
+    "path_top_k_cheapest": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, SUM(e.cost) AS cost FROM MATCH TOP 2 CHEAPEST (a:Nation) (-[e:route]-> COST e.cost){1,4} (b:Nation)", f"{_paths(4)} select cast(root as integer) as a, cast(node as integer) as b, cost from (select *, row_number() over (partition by root, node order by cost, n, ids) as r from walk where n >= 1) where r <= 2"),
     "path_all_bounded": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, SUM(e.cost) AS cost FROM MATCH ALL (a:Nation)-[e:route]->{1,3}(b:Nation)", f"{_paths(3)} select cast(root as integer) as a, cast(node as integer) as b, cost from walk where n >= 1"),
-    "path_where_hop": ("SELECT b.n_nationkey AS b, COUNT(e) AS hops FROM MATCH ANY SHORTEST (a:Nation) (-[e:route]-> WHERE e.cost > 3)* (b:Nation) WHERE a.n_nationkey = 0", f"{R}, walk(node, n) as (select cast(0 as bigint), 0 union select r.b, w.n + 1 from walk w join route r on w.node = r.a and r.cost > 3 where w.n < 25) select cast(node as integer) as b, cast(min(n) as bigint) as hops from walk group by node"),
-    "path_horizontal_agg": ("SELECT b.n_nationkey AS b, COUNT(e) AS n, MIN(e.cost) AS lo, MAX(e.cost) AS hi, AVG(e.cost) AS mean, ARRAY_AGG(e.cost) AS costs, LISTAGG(v.n_nationkey, '>') AS way FROM MATCH ALL (a:Nation) (-[e:route]->(v)){1,2} (b:Nation) WHERE a.n_nationkey = 6 AND SUM(e.cost) < 15", f"{R}, w as (select 6 as s, r.b as node, [r.cost] as costs, cast(r.b as varchar) as way from route r where r.a = 6 union all select 6, q.b, [r.cost, q.cost], r.b || '>' || q.b from route r join route q on q.a = r.b where r.a = 6) select cast(node as integer) as b, len(costs) as n, list_min(costs) as lo, list_max(costs) as hi, list_avg(costs) as mean, costs, way from w where list_sum(costs) < 15"),
+    "path_where_hop": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, COUNT(e) AS hops FROM MATCH ANY SHORTEST (a:Nation) (-[e:route]-> WHERE e.cost > 3)* (b:Nation)", f"{R}, walk(root, node, n) as (select cast(n_nationkey as bigint), cast(n_nationkey as bigint), 0 from nation union select w.root, r.b, w.n + 1 from walk w join route r on w.node = r.a and r.cost > 3 where w.n < 25) select cast(root as integer) as a, cast(node as integer) as b, cast(min(n) as bigint) as hops from walk group by root, node"),
+    "path_horizontal_agg": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, COUNT(e) AS n, MIN(e.cost) AS lo, MAX(e.cost) AS hi, AVG(e.cost) AS mean, ARRAY_AGG(e.cost) AS costs, LISTAGG(v.n_nationkey, '>') AS way FROM MATCH ALL (a:Nation) (-[e:route]->(v)){1,2} (b:Nation) WHERE SUM(e.cost) < 15", f"{R}, w as (select r.a as s, r.b as node, [r.cost] as costs, cast(r.b as varchar) as way from route r union all select r.a, q.b, [r.cost, q.cost], r.b || '>' || q.b from route r join route q on q.a = r.b) select cast(s as integer) as a, cast(node as integer) as b, len(costs) as n, list_min(costs) as lo, list_max(costs) as hi, list_avg(costs) as mean, costs, way from w where list_sum(costs) < 15"),
     "path_sum_of_count": ("SELECT SUM(COUNT(e)) AS total FROM MATCH ANY SHORTEST (a:Nation)-[e:route]->*(b:Nation)", f"{_walk(25)} select cast(sum(hops) as bigint) as total from (select min(n) as hops from walk group by root, node)"),
     "path_group_by_length": ("SELECT COUNT(e) AS hops, COUNT(*) AS n FROM MATCH ANY SHORTEST (a:Nation)-[e:route]->*(b:Nation) GROUP BY COUNT(e)", f"{_walk(25)} select cast(hops as bigint) as hops, count(*) as n from (select min(n) as hops from walk group by root, node) group by 1"),
     "path_turns": ("SELECT a.conv_id AS c, COUNT(e) AS hops FROM MATCH ANY SHORTEST (a:Turn)-[e:next_turn]->+(b:Turn) WHERE a.turn = 0 AND b.role = 'user'", "select a.conv_id as c, b.turn - a.turn as hops from conversations a join conversations b on a.conv_id = b.conv_id and b.turn > a.turn where a.turn = 0 and b.role = 'user'"),
-    "macro_reach": ("PATH near AS (a:Nation)-[:route]->(:Nation)-[:route]->(b:Nation) SELECT x.n_nationkey AS x, y.n_nationkey AS y FROM MATCH (x:Nation)-/:near+/->(y:Nation) WHERE x.n_nationkey = 1", f"{R}, near as (select distinct p.a, q.b from route p join route q on p.b = q.a), walk(node) as (select b from near where a = 1 union select n.b from walk w join near n on n.a = w.node) select cast(1 as integer) as x, cast(node as integer) as y from walk"),
+    "macro_reach": ("PATH near AS (a:Nation)-[:route]->(:Nation)-[:route]->(b:Nation) SELECT x.n_nationkey AS x, y.n_nationkey AS y FROM MATCH (x:Nation)-/:near+/->(y:Nation)", f"{R}, near as (select distinct p.a, q.b from route p join route q on p.b = q.a), walk(root, node) as (select a, b from near union select w.root, n.b from walk w join near n on n.a = w.node) select cast(root as integer) as x, cast(node as integer) as y from walk"),
+    "macro_several": ("PATH up AS (a:Nation)-[e:route]->(b:Nation) WHERE b.n_nationkey > a.n_nationkey PATH cheap AS (a:Nation)-[e:route]->(b:Nation) WHERE e.cost < 5 SELECT x.n_nationkey AS x, y.n_nationkey AS y, z.n_nationkey AS z FROM MATCH (x:Nation)-/:up/->(y:Nation)-/:cheap{1,2}/->(z:Nation)", f"{R} select distinct cast(u.a as integer) as x, cast(u.b as integer) as y, cast(w.b as integer) as z from route u join (select a, b from route where cost < 5 union select p.a, q.b from route p join route q on p.b = q.a where p.cost < 5 and q.cost < 5) w on w.a = u.b where u.b > u.a"),
+    "macro_beside_label": ("PATH back AS (a:Nation)<-[e:route]-(b:Nation) WHERE e.cost > 8 SELECT x.n_nationkey AS x, y.n_nationkey AS y FROM MATCH (x:Nation)-/:back|route{2}/->(y:Nation)", f"{R}, hop as (select a, b from route union select b, a from route where cost > 8) select distinct cast(p.a as integer) as x, cast(q.b as integer) as y from hop p join hop q on p.b = q.a"),
     "macro_where": ("PATH cheap AS (a:Nation)-[e:route]->(b:Nation) WHERE e.cost < 5 SELECT x.n_nationkey AS x, y.n_nationkey AS y FROM MATCH (x:Nation)-/:cheap{1,3}/->(y:Nation)", f"{R}, walk(root, node, n) as (select a, b, 1 from route where cost < 5 union select w.root, r.b, w.n + 1 from walk w join route r on w.node = r.a and r.cost < 5 where w.n < 3) select distinct cast(root as integer) as x, cast(node as integer) as y from walk"),
     "macro_reversed": ("PATH step AS (b:Nation)<-[e:route]-(a:Nation) SELECT x.n_nationkey AS x, y.n_nationkey AS y FROM MATCH (x:Nation)-/:step{2}/->(y:Nation)", f"{_walk(2)} select distinct cast(node as integer) as x, cast(root as integer) as y from walk where n = 2"),
     # statements without rows of the tables
@@ -189,9 +200,113 @@ CHANGES: dict[str, tuple[list[str], str, str]] = {
 }
 
 
+def _two_graphs(s: Session) -> DataFrame:
+    s.execute("DELETE n FROM MATCH (n:Nation) WHERE n.n_regionkey = 0")
+    return s.execute("SELECT m.n_nationkey AS k, COUNT(*) AS n FROM MATCH (m:Nation) ON shop, MATCH (n:Nation) ON copy WHERE m.n_regionkey = n.n_regionkey GROUP BY m.n_nationkey")
+
+
+def _explain(s: Session) -> DataFrame:
+    plan = s.execute("EXPLAIN SELECT n.n_name AS n FROM MATCH (n:Nation) WHERE n.n_regionkey > 2")
+    return plan.where("lower(plan) like '%scan parquet%'").selectExpr("count(*) > 0 as scans")
+
+
+def _listed(s: Session) -> DataFrame:
+    """A list of statements with empty ones, run one by one."""
+    out = None
+    for n in parse(";; CREATE LABEL Extra; ; INSERT VERTEX v LABELS (Extra) PROPERTIES (v.x = 7);SELECT v.x AS x FROM MATCH (v:Extra);"):
+        out = s.run(n, [])
+    return out
+
+
+def _said(s: Session) -> DataFrame:
+    """A statement's normal text, executed."""
+    return s.execute(str(parse("select c.c_custkey as k from match (c:Customer) -[:lives_in]->(n:Nation) where n.n_name='NATION_3' or not c.c_acctbal<0")[0]))
+
+
+def _indexes(s: Session) -> DataFrame:
+    s.execute("CREATE LABEL Extra")
+    s.execute("INSERT VERTEX v LABELS (Extra) PROPERTIES (v.x = 1)")
+    s.execute("CREATE UNIQUE INDEX ux (x)")
+    twice = "INSERT VERTEX v LABELS (Extra) PROPERTIES (v.x = 1)"
+    first = _refuses(s, twice)
+    s.execute("DROP INDEX ux")
+    s.execute(twice)
+    return s.spark.sql(f"select {str(first).lower()} as refused, {s.execute('SELECT v.x AS x FROM MATCH (v:Extra)').count()} as n")
+
+
+def _refuses(s: Session, text: str) -> bool:
+    try:
+        s.execute(text)
+    except GraphError:
+        return True
+    return False
+
+
+#: Statements that are refused: unknown variables, labels, graphs and properties of indexes, names that are there already, ...
+REFUSED = [
+    "SELECT z.a AS a FROM MATCH (c:Customer)", "SELECT c.a AS a FROM MATCH (c:Nobody)", "SELECT c.a AS a FROM MATCH (c) ON nowhere", "USE nowhere",
+    "CREATE GRAPH copy", "DROP GRAPH nowhere", "CREATE LABEL Customer", "DROP LABEL Nobody", "CREATE INDEX i (nothing)", "DROP INDEX i",
+    "INSERT VERTEX v LABELS (Nobody)", "INSERT EDGE e BETWEEN a AND b LABELS (placed) FROM MATCH (a:Customer)", "INSERT VERTEX v LABELS (Customer) PROPERTIES (w.a = 1)",
+    "UPDATE z SET (z.a = 1) FROM MATCH (c:Customer)", "DELETE z FROM MATCH (c:Customer)", "SELECT c.c_name AS n, COUNT(*) AS k FROM MATCH (c:Customer)",
+    "PATH p AS ANY (a)-[e]->*(b) SELECT a AS a FROM MATCH (a)-/:p/->(b)", "SELECT COUNT(e) AS n FROM MATCH ALL (a)-[e]->+(b)", "SELECT 1", "CREATE LABEL a; CREATE LABEL b",
+]
+
+
+def _refused(s: Session) -> DataFrame:
+    return s.spark.createDataFrame([(i, _refuses(s, x)) for i, x in enumerate(REFUSED)], "i int, refused boolean")
+
+
+def _names(s: Session) -> DataFrame:
+    for x in ("CREATE GRAPH IF NOT EXISTS copy", "CREATE GRAPH other", "CREATE GRAPH third", "DROP GRAPH third", "DROP GRAPH IF EXISTS third"):
+        s.execute(x)
+    return s.execute("SHOW GRAPHS")
+
+
+def _labels(s: Session) -> DataFrame:
+    for x in ("CREATE GRAPH other", "USE other", "CREATE LABEL a", "CREATE LABEL IF NOT EXISTS a", "CREATE LABEL b", "DROP LABEL b", "DROP LABEL IF EXISTS b"):
+        s.execute(x)
+    return s.execute("SHOW LABELS IN other")
+
+
+def _into(s: Session) -> DataFrame:
+    for x in ("CREATE GRAPH other", "USE other", "CREATE LABEL Mark", "USE copy", "INSERT INTO other VERTEX v LABELS (Mark) PROPERTIES (v.name = n.n_name) FROM MATCH (n:Nation) ON copy", "USE other"):
+        s.execute(x)
+    return s.execute("SELECT m.name AS name FROM MATCH (m:Mark)")
+
+
+def _cursor(s: Session) -> DataFrame:
+    connection = dbapi.Connection(s)
+    c = connection.cursor()
+    c.execute("SELECT c.c_custkey AS k FROM MATCH (c:Customer) WHERE c.c_mktsegment = ? AND c.c_acctbal > ?", ["BUILDING", 100])
+    return s.spark.createDataFrame([tuple(r) for r in c.fetchall()], "k long")
+
+
+#: name: (what to do with a session on a stored copy of a part of the shop, SQL)
+SCRIPTS: dict[str, tuple[Callable[[Session], DataFrame], str]] = {
+    "select_star": (lambda s: s.execute("SELECT * FROM MATCH (n:Nation)-[e:in_region]->(r:Region)").selectExpr("n.n_name as n", "e.src = n.id and e.dst = r.id as joined", "r.r_name as r", "n.labels[0] as label"), "select n_name as n, true as joined, r_name as r, 'Nation' as label from nation join region on r_regionkey = n_regionkey"),
+    "on_two_graphs": (_two_graphs, "select a.n_nationkey as k, count(*) as n from nation a join nation b on a.n_regionkey = b.n_regionkey where b.n_regionkey <> 0 group by 1"),
+    "parameters": (lambda s: s.execute("SELECT c.c_custkey AS k FROM MATCH (c:Customer) WHERE c.c_mktsegment = ? AND c.c_acctbal > ?", ["BUILDING", 100]), "select c_custkey as k from customer where c_mktsegment = 'BUILDING' and c_acctbal > 100"),
+    "explain": (_explain, "select true as scans"),
+    "create_drop_graph": (_names, "select unnest(['copy', 'other', 'shop']) as graph"),
+    "create_drop_label": (_labels, "select 'a' as label"),
+    "create_drop_index": (_indexes, "select true as refused, 2 as n"),
+    "insert_into_graph": (_into, "select n_name as name from nation"),
+    "insert_without_from": (lambda s: [s.execute(x) for x in ("CREATE LABEL Note", "INSERT VERTEX v LABELS (Note) PROPERTIES (v.text = 'a' || 'b', v.n = 1 + 2), VERTEX w LABELS (Note)", "SELECT v.text AS text, v.n AS n FROM MATCH (v:Note)")][-1], "select 'ab' as text, cast(3 as bigint) as n union all select null, null"),
+    "transaction_commit": (lambda s: [s.execute(x) for x in ("BEGIN", "DELETE n FROM MATCH (n:Nation) WHERE n.n_regionkey = 1", "COMMIT", "ROLLBACK", "SELECT COUNT(*) AS n FROM MATCH (n:Nation)")][-1], "select count(*) as n from nation where n_regionkey <> 1"),
+    "statement_list": (_listed, "select cast(7 as bigint) as x"),
+    "ast_to_text": (_said, "select c_custkey as k from customer where c_nationkey = 3 or c_acctbal >= 0"),
+    "refused_statements": (_refused, f"select cast(i as integer) as i, true as refused from range({len(REFUSED)}) t(i)"),
+    "database_cursor": (_cursor, "select c_custkey as k from customer where c_mktsegment = 'BUILDING' and c_acctbal > 100"),
+}
+
+
+def _script(run: Callable[[Session], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: run(_small_graph(spark, folder).register(shop_graph(spark, folder), use=False))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _query(q) for k, (q, _) in QUERIES.items()} | {k: _after(s, q) for k, (s, q, _) in CHANGES.items()}
+    return {k: _query(q) for k, (q, _) in QUERIES.items()} | {k: _after(s, q) for k, (s, q, _) in CHANGES.items()} | {k: _script(f) for k, (f, _) in SCRIPTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in QUERIES.items()} | {k: s for k, (_, _, s) in CHANGES.items()}
+    return {k: s for k, (_, s) in QUERIES.items()} | {k: s for k, (_, _, s) in CHANGES.items()} | {k: s for k, (_, s) in SCRIPTS.items()}

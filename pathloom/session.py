@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pathloom.lang.errors import BindError, CatalogError, GraphError
 from pathloom.lang.parser import parse
 from pathloom.operators.modify import Modifier, numbered
 from pathloom.operators.select import Selector
+from pathloom.plans.durable import shared_dir
 from pathloom.sources.catalog import StoredGraph, Warehouse, store
 from pathloom.sources.graph import PropertyGraph
 
@@ -34,7 +35,7 @@ class Session:
     @property
     def warehouse(self) -> Warehouse:
         if not isinstance(self._warehouse, Warehouse):
-            self._warehouse = Warehouse(self.spark, self._warehouse or tempfile.mkdtemp(prefix="pathloom-warehouse-"))
+            self._warehouse = Warehouse(self.spark, self._warehouse or f"{shared_dir(self.spark)}/warehouse-{uuid.uuid4().hex}")
         return self._warehouse
 
     def _has_store(self) -> bool:
