@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,41 @@ def test_the_result_does_not_depend_on_partitions(spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     a, b = Q.score_quality(docs, labels), Q.score_quality(docs.repartition(7), labels.repartition(3))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_grams_are_told_apart_whatever_their_letters():
+    # one number mixed from both halves is the same for these two
+    hi, lo, _ = T.letters(["habpcd", "oabıcd"])
+    hi, lo = hi[[5, 12]], lo[[5, 12]]
+    d, b = np.array([3.0, -2.0], np.float32), np.array([0.5, np.nan], np.float32)
+    both, one, none = T.Model(hi, lo, d, b), T.Model(hi[:1], lo[:1], d[:1], b[:1]), T.Model(hi[:0], lo[:0], d[:0], b[:0])
+    assert both._at(hi, lo, both.d).tolist() == [3.0, -2.0] and np.isnan(both._at(hi, lo, both.b)).tolist() == [False, True]
+    assert np.isnan(one._at(hi, lo, one.d)).tolist() == [False, True] and np.isnan(none._at(hi, lo, none.d)).all()
+    # every first and fourth letter of 500, as rows or not
+    x, y = (v.ravel().astype(np.int64) for v in np.meshgrid(np.arange(97, 597), np.arange(97, 597)))
+    hi, lo, d = x << 42 | 97 << 21 | 98, y << 42 | 99 << 21 | 100, (x * 1000 + y).astype(np.float32)
+    row = np.random.default_rng(3).random(len(x)) < 0.5
+    own = T.Model(hi[row], lo[row], d[row], d[row])
+    got = own._at(hi, lo, own.d)
+    assert np.array_equal(got[row], d[row]) and np.isnan(got[~row]).all()
+    # a half of a row, or what is beyond all rows, is no row
+    assert np.isnan(own._at(hi[:2] + [0, 1 << 62], lo[:2] + [1, 0], own.d)).all()
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_words_of_any_letters_are_scored(spark, monkeypatch, sent):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, "habpcd habpcd rot").otherwise("oabıcd fine day").alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    if not sent:
+        monkeypatch.setattr(T, "SENT", 0)
+    rows = T.score_toxicity(docs, labels).collect()
+    assert len(rows) == 60 and all(r.predicted == r.doc_id % 2 for r in rows)
+
+
+def test_what_is_sent_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, "vile rot").otherwise("fine day").alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    table, sent, *_ = T.fit(docs, labels, "toxic", F.lit(True), F.col("_id") < 4)
+    assert sent.load().bytes() > 16 * table.count()
+    monkeypatch.setattr(T, "SENT", table.count())
+    assert T.fit(docs, labels, "toxic", F.lit(True), F.col("_id") < 4)[1] is None
